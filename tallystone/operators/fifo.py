@@ -62,7 +62,8 @@ def prepared_fills(fills: DataFrame) -> DataFrame:
     """Fills with positive quantity, one signed quantity and one fee per unit.
 
     Needs KEYS, ORDER, ``fill_id``, ``side``, ``quantity``, ``price``, ``fees`` and, when
-    present, ``withholding_tax``. The sign of a quantity is ignored, zero quantities drop out."""
+    present, ``withholding_tax``. The sign of a quantity is ignored; a fill of zero
+    quantity opens and closes nothing and its side is not looked at."""
     tax = F.coalesce(F.col("withholding_tax"), _zero(MONEY)) if "withholding_tax" in fills.columns else _zero(MONEY)
     base = fills.select(
         *KEYS,
@@ -72,11 +73,12 @@ def prepared_fills(fills: DataFrame) -> DataFrame:
         F.abs("quantity").cast(UNIT).alias("quantity"),
         F.col("price").cast(UNIT).alias("price"),
         (F.coalesce(F.col("fees"), _zero(MONEY)) + tax).cast(UNIT).alias("fee"),
-    ).where(F.col("quantity") != 0)
+    )
+    traded = F.col("quantity") != 0
     return base.withColumns(
         {
-            "signed": _signed(F.col("side"), F.col("quantity")),
-            "unit_fee": (F.col("fee") / F.col("quantity")).cast(FEE_PER_UNIT),
+            "signed": F.when(traded, _signed(F.col("side"), F.col("quantity"))).otherwise(_zero(UNIT)),
+            "unit_fee": F.when(traded, F.col("fee") / F.col("quantity")).otherwise(_zero(UNIT)).cast(FEE_PER_UNIT),
         }
     )
 
@@ -94,7 +96,8 @@ def _amount(price: str | Column, quantity: Column) -> Column:
 def _fee_of(quantity: Column) -> Column:
     """Share of the fill's fee that falls on ``quantity`` of its units; exact for the whole fill."""
     part = (F.col("unit_fee") * quantity.cast(UNIT)).cast(AMOUNT)
-    return F.when(quantity == F.col("quantity"), F.col("fee").cast(AMOUNT)).otherwise(part)
+    whole = (quantity == F.col("quantity")) & (quantity != 0)
+    return F.when(whole, F.col("fee").cast(AMOUNT)).otherwise(part)
 
 
 def fill_usage(fills: DataFrame, cuts: DataFrame | None = None) -> DataFrame:

@@ -255,3 +255,126 @@ def run_events(spark: SparkSession, folder: str) -> DataFrame:
         "event_id",
         k.alias("k"),
     )
+
+
+def notes(spark: SparkSession, folder: str) -> DataFrame:
+    """One note per order, on an instrument, a label, or (a fault) on nothing."""
+    order = table(spark, folder, "orders")
+    key = F.col("o_orderkey")
+    return order.select(
+        F.lpad(key.cast("string"), 14, "0").alias("note_id"),
+        F.when(key % 3 != 0, (F.col("o_custkey") % 200).cast("string")).alias("instrument_id"),
+        F.when(key % 4 == 0, F.md5(F.concat(F.lit("brand:Brand#"), (key % 25 + 1).cast("string")))).alias("label_id"),
+        F.col("o_orderpriority").alias("content"),
+        F.col("o_orderdate").alias("created_at_utc"),
+        F.col("o_orderdate").alias("updated_at_utc"),
+    )
+
+
+def raw_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Raw rows as a statement would hold them: trades from line items, cash rows from events,
+    rates and corporate actions from orders; some with faults, no-value texts or other tags."""
+    text = lambda value: value.cast("string")
+    t = trade_raw(spark, folder)
+    salt = F.conv(F.substring("source_raw_record_id", 1, 4), 16, 10).cast("int")
+    hit = lambda divisor, rest=0: salt % divisor == rest
+    trade_payload = F.create_map(
+        F.lit("ibExecID"), F.when(hit(37), "  ").otherwise(F.col("ib_exec_id")),
+        F.lit("transactionID"), F.col("transaction_id"),
+        F.lit("conid"), F.when(hit(41), F.lit(None)).otherwise(F.col("instrument_id")),
+        F.lit("buySell"), F.lower("side"),
+        F.lit("quantity"), F.when(hit(43), "abc").otherwise(text(F.col("quantity").cast("decimal(18,2)"))),
+        F.lit("tradePrice"), F.when(hit(47), "-").otherwise(F.call_function("format_number", F.col("price"), F.lit("#,##0.00"))),
+        F.lit("currency"), F.col("currency"),
+        F.lit("dateTime"), F.when(hit(53), "yesterday").when(hit(3), F.date_format("trade_timestamp_utc", "yyyyMMdd;HHmmss"))
+        .when(hit(3, 1), F.date_format("trade_timestamp_utc", "yyyy-MM-dd'T'HH:mm:ss'+02:00'"))
+        .otherwise(F.date_format("trade_timestamp_utc", "yyyy-MM-dd, HH:mm:ss")),
+        F.lit("reportDate"), F.when(hit(59), "2026-13-40").when(hit(4), F.lit("--")).when(hit(4, 1), F.date_format("report_date_local", "yyyyMMdd"))
+        .when(hit(4, 2), F.date_format("report_date_local", "MM/dd/yyyy")).otherwise(F.date_format("report_date_local", "dd-MMM-yy")),
+        F.lit("ibCommission"), F.when(hit(5), "N/A").otherwise(text(F.col("commission").cast("decimal(18,4)"))),
+        F.lit("fees"), text(F.col("fees").cast("decimal(18,4)")),
+        F.lit("fxRateToBase"), text(F.col("fx_rate_to_base").cast("decimal(18,4)")),
+        F.lit("symbol"), F.when(hit(7), F.lit("")).otherwise(F.concat(F.lit("S"), F.col("instrument_id"))),
+        F.lit("description"), F.when(hit(2), F.lit("first")).otherwise("second"),
+    )
+    trades = t.select(
+        F.col("source_raw_record_id").alias("raw_record_id"), "ingestion_run_id", "account_id", F.lit("Trades").alias("section_name"),
+        F.concat(F.when(hit(31), "Trades:Order:ibExecID=").when(hit(61), "Other:Trade:ibExecID=").otherwise("Trades:Trade:ibExecID="), F.col("ib_exec_id")).alias("source_row_ref"),
+        F.when(hit(67), F.lit(None)).otherwise(F.col("report_date_local")).alias("report_date_local"),
+        trade_payload.alias("source_payload"), F.col("trade_timestamp_utc").alias("created_at_utc"),
+    )
+    c = cashflow_raw(spark, folder)
+    number = F.col("source_raw_record_id").cast("bigint")
+    cash_payload = F.create_map(
+        F.lit("transactionID"), F.when(number % 29 == 0, F.lit(" ")).otherwise(F.col("transaction_id")),
+        F.lit("type"), F.col("cash_action"),
+        F.lit("amount"), F.when(number % 31 == 0, "NaN").otherwise(text(F.col("amount").cast("decimal(18,2)"))),
+        F.lit("currency"), F.col("currency"),
+        F.lit("conid"), F.coalesce("instrument_id", F.lit("N/A")),
+        F.lit("dateTime"), F.when(number % 37 == 0, "2026/02/14 10:00:00").otherwise(F.date_format("effective_at_utc", "yyyy-MM-dd'T'HH:mm:ss'Z'")),
+        F.lit("withholdingTax"), text(F.col("withholding_tax").cast("decimal(18,2)")),
+        F.lit("fees"), text(F.col("fees").cast("decimal(18,2)")),
+        F.lit("description"), F.col("cash_action"),
+    )
+    cash = c.select(
+        F.concat(F.lit("c"), "source_raw_record_id").alias("raw_record_id"), "ingestion_run_id", "account_id",
+        F.lit("CashTransactions").alias("section_name"), F.concat(F.lit("CashTransactions:CashTransaction:transactionID="), "transaction_id").alias("source_row_ref"),
+        "report_date_local", cash_payload.alias("source_payload"), F.col("effective_at_utc").alias("created_at_utc"),
+    )
+    x = fx_raw(spark, folder)
+    order_number = F.col("source_raw_record_id").cast("bigint")
+    fx_payload = F.create_map(
+        F.lit("fromCurrency"), F.when(order_number % 41 == 0, F.lit("")).otherwise(F.col("currency")),
+        F.lit("toCurrency"), F.when(order_number % 2 == 0, F.col("functional_currency")).otherwise("-"),
+        F.lit("rate"), F.when(order_number % 43 == 0, "Infinity").otherwise(text(F.col("fx_rate"))),
+        F.lit("transactionID"), F.when(order_number % 3 == 0, F.lit("--")).otherwise(F.col("transaction_id")),
+    )
+    fx = x.select(
+        F.concat(F.lit("f"), "source_raw_record_id").alias("raw_record_id"), "ingestion_run_id", "account_id",
+        F.lit("ConversionRates").alias("section_name"), F.concat(F.lit("ConversionRates:ConversionRate:idx="), (order_number % 50).cast("string")).alias("source_row_ref"),
+        "report_date_local", fx_payload.alias("source_payload"), F.col("report_date_local").cast("timestamp_ntz").alias("created_at_utc"),
+    )
+    a = corp_action_raw(spark, folder)
+    action_payload = F.create_map(
+        F.lit("conid"), F.col("conid"), F.lit("type"), F.when(order_number % 47 == 0, F.lit(None)).otherwise(F.col("reorg_code")),
+        F.lit("actionID"), F.col("action_id"), F.lit("transactionID"), F.col("transaction_id"), F.lit("description"), F.col("description"),
+    )
+    actions = a.select(
+        F.concat(F.lit("a"), "source_raw_record_id").alias("raw_record_id"), "ingestion_run_id", "account_id",
+        F.lit("CorporateActions").alias("section_name"),
+        F.concat(F.when(order_number % 53 == 0, "CorporateActions:Summary:idx=").otherwise("CorporateActions:CorporateAction:idx="), (order_number % 50).cast("string")).alias("source_row_ref"),
+        "report_date_local", action_payload.alias("source_payload"), F.col("report_date_local").cast("timestamp_ntz").alias("created_at_utc"),
+    )
+    return trades.unionByName(cash).unionByName(fx).unionByName(actions)
+
+
+def statement_payloads(spark: SparkSession, folder: str) -> DataFrame:
+    """One XML statement per order, written from the order's own columns; some are broken."""
+    order = table(spark, folder, "orders")
+    key = F.col("o_orderkey")
+    k, cust = key.cast("string"), F.col("o_custkey").cast("string")
+    day = F.date_format("o_orderdate", "yyyyMMdd")
+    optional = lambda keep, *parts: F.when(keep, F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))).otherwise("")
+    body = F.concat(
+        F.lit('<Trades currency="USD"><Trade transactionID="'), k, F.lit('" conid="'), cust,
+        F.lit('"/><Lots currency="EUR"><Lot qty="1"/><Lot qty="2" currency="ILS"/></Lots></Trades><CashTransactions note="none"/>'),
+        optional(key % 3 != 0, '<OpenPositions><OpenPosition conid="', cust, '"/></OpenPositions>'),
+        optional(key % 4 != 0, "<CorporateActions/><ConversionRates/>"),
+        optional(key % 5 != 0, "<SecuritiesInfo/><AccountInformation/>"),
+        optional(key % 2 == 0, "<MTMPerformanceSummaryInBase/>"),
+        optional(key % 7 == 0, "<FIFOPerformanceSummaryInBase/>"),
+    )
+    count = F.when(key % 17 == 0, ' count="2"').when(key % 19 == 0, ' count=" "').when(key % 23 == 0, "").otherwise(' count="1"')
+    text = F.concat(
+        F.lit("<Response><FlexStatements"), count, F.lit('><FlexStatement accountId="U'), (F.col("o_custkey") % 3).cast("string"),
+        F.when(key % 6 == 0, F.concat(F.lit('" reportDate="'), day)).otherwise(F.concat(F.lit('" toDate="'), day)), F.lit('">'),
+        body, F.lit("</FlexStatement></FlexStatements></Response>"),
+    )
+    return order.select(
+        k.alias("payload_id"),
+        F.encode(F.when(key % 29 == 0, F.substring(text, 1, 60)).when(key % 31 == 0, "<Response/>").otherwise(text), "UTF-8").alias("payload"),
+        F.concat(F.lit("U"), (F.col("o_custkey") % 3).cast("string")).alias("account_id"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("period_key"),
+        F.lit("q1").alias("flex_query_id"),
+        F.col("o_orderdate").alias("created_at_utc"),
+    )
