@@ -1,9 +1,10 @@
 """Date and time columns. Instants are ``timestamp_ntz`` holding UTC wall time, so
-no result depends on the session time zone."""
+no result depends on the session time zone.
 
-from __future__ import annotations
+Parsing rewrites a text step by step into one canonical form and casts once, so each
+step reads the text a single time."""
 
-from functools import reduce
+from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,121 +15,73 @@ BUSINESS_ZONE = "Asia/Jerusalem"
 
 # Fixed values of the statement format.
 ZONE_OFFSETS = {"EST": "-0500", "EDT": "-0400"}
-MONTHS = (
-    "january", "february", "march", "april", "may", "june", "july",
-    "august", "september", "october", "november", "december",
-)
-DATE_SEPARATORS = (";", "T", " ")
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
-_CLOCK = r"(?:\d{2}(?::\d{2}(?::\d{2}(?:[.,]\d+)?)?)?|\d{2}\d{2}(?:\d{2}(?:[.,]\d+)?)?)"
+# A date may be followed by a separator and anything.
+_TAIL = r"(?:[;T ].*)?$"
+_HOUR, _SIXTY = r"(?:[01]\d|2[0-3])", r"[0-5]\d"
 _OFFSET = r"(?:Z|[+-]\d{2}(?::?\d{2}(?::?\d{2})?)?)"
-_ISO_DATE = r"(?:\d{4}-\d{2}-\d{2}|\d{4}\d{2}\d{2})"
-_ISO_INSTANT = rf"^({_ISO_DATE})(?:(?:[;,]\s*|.)({_CLOCK})({_OFFSET})?)?$"
-_NAMED_ZONE = (
-    r"^(\d{1,2})\s+([A-Za-z]+),\s+(\d{4})\s+(0?[1-9]|1[0-2]):(\d{1,2})\s+([AaPp][Mm])\s+(EST|EDT)$"
+_CLOCK = rf"(?:{_HOUR}(?::{_SIXTY}(?::{_SIXTY}(?:[.,]\d+)?)?)?|{_HOUR}{_SIXTY}(?:{_SIXTY}(?:[.,]\d+)?)?){_OFFSET}?$"
+
+# Written date forms and their place in year-month-day. Two-digit years 69-99 are 1969-1999.
+_DATE_FORMS = (
+    (rf"(?s)^(\d{{4}})([-/])(\d{{1,2}})\2(\d{{1,2}}){_TAIL}", "$1-$3-$4"),
+    (rf"(?s)^(\d{{4}})(\d{{2}})(\d{{2}}){_TAIL}", "$1-$2-$3"),
+    (rf"^(\d{{4}})(-?)(\d{{2}})\2(\d{{2}})(?:[,;]\s*|.){_CLOCK}", "$1-$3-$4"),
+    (rf"(?s)^(\d{{1,2}})/(\d{{1,2}})/(\d{{4}}){_TAIL}", "$3-$1-$2"),
+    (rf"(?s)^(\d{{1,2}})/(\d{{1,2}})/(69|[7-9]\d){_TAIL}", "19$3-$1-$2"),
+    (rf"(?s)^(\d{{1,2}})/(\d{{1,2}})/(\d{{2}}){_TAIL}", "20$3-$1-$2"),
 )
+_CANONICAL_DATE = r"^\d{4}-\d{1,2}-\d{1,2}$"
+_NAMED_DATE = r"(?s)^(\d{1,2})-([A-Za-z]{3})-(\d{2})(?:[; ].*|(?<![A-Z]T-\d\d)T.*)?$"
 
+# Year, month, day, hour, minute, second, fraction and offset are groups 1, 3-9.
+_ISO_INSTANT = (
+    rf"^(\d{{4}})(-?)(\d{{2}})\2(\d{{2}})(?:(?:[;,]\s*|.)(?={_CLOCK})"
+    rf"(\d{{2}})(?::?(\d{{2}})(?::?(\d{{2}})(?:[.,](\d{{1,6}})\d*)?)?)?({_OFFSET})?)?$"
+)
+_NAMED_ZONE = r"^\d{1,2}\s+[A-Za-z]+,\s+\d{4}\s+(?:0?[1-9]|1[0-2]):\d{1,2}\s+[AaPp][Mm]\s+(?:EST|EDT)$"
 
-def _group(value: Column, pattern: str, index: int) -> Column:
-    return F.regexp_extract(value, pattern, index)
-
-
-def _month_number(name: Column, width: int | None = None) -> Column:
-    """Month number of an English month name (or its first ``width`` letters)."""
-    names = [month[:width] for month in MONTHS]
-    position = F.array_position(F.array(*map(F.lit, names)), F.lower(name))
-    return F.nullif(position, F.lit(0))
-
-
-def _calendar_date(year: Column, month: Column, day: Column) -> Column:
-    return F.concat_ws("-", year, month, day).try_cast("date")
-
-
-def _two_digit_year(text: Column) -> Column:
-    """69-99 are 1969-1999, 00-68 are 2000-2068."""
-    number = text.try_cast("int")
-    return F.when(number >= 69, number + 1900).otherwise(number + 2000)
-
-
-def _date_of_token(token: Column) -> Column:
-    ymd = r"^(\d{4})([-/])(\d{1,2})\2(\d{1,2})$"
-    compact = r"^(\d{4})(\d{2})(\d{2})$"
-    us_long = r"^(\d{1,2})/(\d{1,2})/(\d{4})$"
-    us_short = r"^(\d{1,2})/(\d{1,2})/(\d{2})$"
-    named = r"^(\d{1,2})-([A-Za-z]{3})-(\d{2})$"
-    month = _month_number(_group(token, named, 2), 3)
-    return (
-        F.when(token.rlike(ymd), _calendar_date(_group(token, ymd, 1), _group(token, ymd, 3), _group(token, ymd, 4)))
-        .when(token.rlike(compact), _calendar_date(*(_group(token, compact, i) for i in (1, 2, 3))))
-        .when(token.rlike(us_long), _calendar_date(*(_group(token, us_long, i) for i in (3, 1, 2))))
-        .when(
-            token.rlike(us_short),
-            _calendar_date(_two_digit_year(_group(token, us_short, 3)), _group(token, us_short, 1), _group(token, us_short, 2)),
-        )
-        .when(
-            token.rlike(named) & month.isNotNull(),
-            _calendar_date(_two_digit_year(_group(token, named, 3)), month, _group(token, named, 1)),
-        )
-    )
-
-
-def _iso_instant(text: Column) -> Column:
-    """ISO date or date-time with any one separator; offsets are applied, none means UTC."""
-    digits = F.translate(_group(text, _ISO_INSTANT, 1), "-", "")
-    clock = F.translate(_group(text, _ISO_INSTANT, 2), ":", "")
-    clock = F.translate(clock, ",", ".")
-    whole = F.rpad(F.substring_index(clock, ".", 1), 6, "0")
-    fraction = F.when(F.instr(clock, ".") > 0, F.substring(F.substring_index(clock, ".", -1), 1, 6)).otherwise(F.lit("0"))
-    text_form = F.concat(
-        F.substring(digits, 1, 4), F.lit("-"), F.substring(digits, 5, 2), F.lit("-"), F.substring(digits, 7, 2), F.lit(" "),
-        F.substring(whole, 1, 2), F.lit(":"), F.substring(whole, 3, 2), F.lit(":"), F.substring(whole, 5, 2),
-        F.lit("."), fraction,
-    )
-    local = text_form.try_cast("timestamp_ntz")
-    return F.when(text.rlike(_ISO_INSTANT), local - _offset_interval(_group(text, _ISO_INSTANT, 3)))
-
-
-def _offset_interval(offset: Column) -> Column:
-    """Interval of ``+HH[:MM[:SS]]``; empty and ``Z`` are zero."""
-    digits = F.rpad(F.translate(offset, "+-:Z", ""), 6, "0")
-    sign = F.when(offset.startswith("-"), -1).otherwise(1)
-    parts = [F.substring(digits, start, 2).try_cast("int") * sign for start in (1, 3, 5)]
-    return F.make_dt_interval(F.lit(0), parts[0], parts[1], parts[2].cast("decimal(18,6)"))
-
-
-def _named_zone_instant(text: Column) -> Column:
-    """``20 February, 2026 02:15 PM EST``."""
-    day, month_name, year, hour, minute, half, zone = (_group(text, _NAMED_ZONE, i) for i in range(1, 8))
-    hour_24 = F.pmod(hour.try_cast("int"), F.lit(12)) + F.when(F.lower(half) == "pm", 12).otherwise(0)
-    local = F.concat(
-        year, F.lit("-"), F.lpad(_month_number(month_name).cast("string"), 2, "0"), F.lit("-"), F.lpad(day, 2, "0"),
-        F.lit(" "), F.lpad(hour_24.cast("string"), 2, "0"), F.lit(":"), F.lpad(minute, 2, "0"), F.lit(":00"),
-    ).try_cast("timestamp_ntz")
-    offsets = F.create_map(*(F.lit(x) for pair in ZONE_OFFSETS.items() for x in pair))
-    offset = F.coalesce(F.try_element_at(offsets, zone), F.lit(""))
-    return F.when(text.rlike(_NAMED_ZONE), local - _offset_interval(offset))
+
+def _named_date(text: Column) -> Column:
+    """``14-Feb-26``."""
+    month = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.regexp_extract(text, _NAMED_DATE, 2)))
+    year = F.regexp_extract(text, _NAMED_DATE, 3)
+    century = F.when(year >= "69", "19").otherwise("20")
+    written = F.concat(century, year, F.lit("-"), month.cast("string"), F.lit("-"), F.regexp_extract(text, _NAMED_DATE, 1))
+    return F.when(text.rlike(_NAMED_DATE), written.try_cast("date"))
 
 
 def local_date(value: Column) -> Column:
-    """Date from any of the supported forms, whole text first, then the part before ``;``, ``T`` or a space."""
+    """Date from any of the supported forms, alone or before ``;``, ``T`` or a space; null when none fits."""
     text = trimmed(value)
-    tokens = [text, *(F.substring_index(text, separator, 1) for separator in DATE_SEPARATORS)]
-    return F.coalesce(
-        _date_of_token(tokens[0]), _iso_instant_date(text), *(_date_of_token(token) for token in tokens[1:])
-    )
+    written = text
+    for form, place in _DATE_FORMS:
+        written = F.regexp_replace(written, form, place)
+    return F.coalesce(F.regexp_extract(written, _CANONICAL_DATE, 0).try_cast("date"), _named_date(text))
 
 
-def _iso_instant_date(text: Column) -> Column:
-    """The date as written in an ISO date-time, whatever its offset."""
-    digits = F.translate(_group(text, _ISO_INSTANT, 1), "-", "")
-    written = _calendar_date(F.substring(digits, 1, 4), F.substring(digits, 5, 2), F.substring(digits, 7, 2))
-    return F.when(_iso_instant(text).isNotNull(), written)
+def _utc(instant: Column) -> Column:
+    """UTC wall time of a ``timestamp``."""
+    seconds = F.unix_micros(instant).cast("decimal(20,0)") * F.lit("0.000001").cast("decimal(6,6)")
+    none = F.lit(0)
+    return F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(none, none, none, seconds.cast("decimal(18,6)"))
 
 
 def utc_instant(value: Column) -> Column:
-    """UTC instant from any of the supported forms, null when none fits."""
+    """UTC instant from an ISO date or date-time with any one separator (no offset means
+    UTC), or from ``20 February, 2026 02:15 PM EST``; null when neither fits."""
     text = trimmed(value)
-    return F.coalesce(_iso_instant(text), _named_zone_instant(text))
+    written = F.regexp_replace(text, _ISO_INSTANT, "$1-$3-$4T$5:$6:$7.$8|$9")
+    for gap, filled in (("T:", "T00:"), ("::", ":00:"), (":.", ":00."), (".|", ".0|")):
+        written = F.replace(written, F.lit(gap), F.lit(filled))
+    written = F.replace(F.regexp_replace(written, r"\|$", "Z"), F.lit("|"), F.lit(""))
+    iso = F.when(text.rlike(_ISO_INSTANT), written.try_cast("timestamp"))
+    spoken = F.regexp_replace(text, r"\s+", " ")
+    for zone, offset in ZONE_OFFSETS.items():
+        spoken = F.regexp_replace(spoken, f"{zone}$", offset)
+    named = F.when(text.rlike(_NAMED_ZONE), F.try_to_timestamp(spoken, F.lit("d MMMM, yyyy h:m a xx")))
+    return _utc(F.coalesce(iso, named))
 
 
 def business_date(instant: Column) -> Column:
@@ -155,7 +108,3 @@ def is_period_key(value: Column) -> Column:
     """Whether a text is a real ``YYYY-MM-DD`` date."""
     text = trimmed(value)
     return F.coalesce(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$") & text.try_cast("date").isNotNull(), F.lit(False))
-
-
-def latest(*columns: Column) -> Column:
-    return reduce(lambda a, b: F.greatest(a, b), columns)

@@ -174,8 +174,13 @@ def artifact_dedupe(spark: SparkSession, folder: str) -> DataFrame:
 # mapping
 
 
+def _raw(spark: SparkSession, folder: str) -> DataFrame:
+    """The raw layer as a stored table."""
+    return stored(star.raw_records(spark, folder), "raw")
+
+
 def map_trades(spark: SparkSession, folder: str) -> DataFrame:
-    mapped = mapping.clean(mapping.map_trades(star.raw_records(spark, folder), star.BASE_CURRENCY))
+    mapped = mapping.clean(mapping.map_trades(_raw(spark, folder), star.BASE_CURRENCY))
     return mapped.select(
         "source_raw_record_id", "account_id", "ib_exec_id", "conid", "side", "quantity", "price", "currency", "trade_timestamp_utc",
         "report_date_local", "commission", "fees", "fx_rate_to_base", "symbol", "asset_category", "instrument_description",
@@ -183,7 +188,7 @@ def map_trades(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def map_cashflows(spark: SparkSession, folder: str) -> DataFrame:
-    mapped = mapping.clean(mapping.map_cashflows(star.raw_records(spark, folder), star.BASE_CURRENCY))
+    mapped = mapping.clean(mapping.map_cashflows(_raw(spark, folder), star.BASE_CURRENCY))
     return mapped.select(
         "source_raw_record_id", "account_id", "transaction_id", "cash_action", "conid", "symbol", "amount", "currency",
         "effective_at_utc", "report_date_local", "withholding_tax", "fees",
@@ -191,7 +196,7 @@ def map_cashflows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def map_fx(spark: SparkSession, folder: str) -> DataFrame:
-    mapped = mapping.clean(mapping.map_fx(star.raw_records(spark, folder), star.BASE_CURRENCY))
+    mapped = mapping.clean(mapping.map_fx(_raw(spark, folder), star.BASE_CURRENCY))
     return mapped.select(
         "source_raw_record_id", "account_id", "transaction_id", "report_date_local", "currency", "functional_currency", "fx_rate",
         "fx_source", "provisional", "diagnostic_code",
@@ -199,7 +204,7 @@ def map_fx(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def map_corp_actions(spark: SparkSession, folder: str) -> DataFrame:
-    mapped = mapping.clean(mapping.map_corp_actions(star.raw_records(spark, folder)))
+    mapped = mapping.clean(mapping.map_corp_actions(_raw(spark, folder)))
     return mapped.select(
         "source_raw_record_id", "account_id", "action_id", "transaction_id", "conid", "reorg_code", "report_date_local",
         "currency", "description", "requires_manual",
@@ -207,23 +212,23 @@ def map_corp_actions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def map_violations(spark: SparkSession, folder: str) -> DataFrame:
-    batch = mapping.build_canonical(star.raw_records(spark, folder), star.BASE_CURRENCY)
+    batch = mapping.build_canonical(_raw(spark, folder), star.BASE_CURRENCY)
     return batch.violations.select("raw_record_id", "section_name", "source_row_ref", "field", "reason", "value")
 
 
 def row_tag_route(spark: SparkSession, folder: str) -> DataFrame:
-    raw = star.raw_records(spark, folder)
+    raw = _raw(spark, folder)
     where = mapping.route(F.col("section_name"), F.col("source_row_ref"), F.col("source_payload"))
     return raw.groupBy("section_name", where.alias("destination")).agg(F.count(F.lit(1)).alias("row_count"))
 
 
 def batch_counters(spark: SparkSession, folder: str) -> DataFrame:
-    return mapping.batch_counts(mapping.build_canonical(star.raw_records(spark, folder), star.BASE_CURRENCY))
+    return mapping.batch_counts(mapping.build_canonical(_raw(spark, folder), star.BASE_CURRENCY))
 
 
 def resolved_events(spark: SparkSession, folder: str) -> DataFrame:
     """Events per kind with and without a known instrument."""
-    batch = mapping.build_canonical(star.raw_records(spark, folder), star.BASE_CURRENCY)
+    batch = mapping.build_canonical(_raw(spark, folder), star.BASE_CURRENCY)
     known = stored(merge.merge_instruments(None, batch.instruments), "instruments")
     rows = None
     for kind, df in (("trade", batch.trades), ("cashflow", batch.cashflows), ("corp_action", batch.corp_actions)):

@@ -275,9 +275,9 @@ def raw_records(spark: SparkSession, folder: str) -> DataFrame:
     """Raw rows as a statement would hold them: trades from line items, cash rows from events,
     rates and corporate actions from orders; some with faults, no-value texts or other tags."""
     text = lambda value: value.cast("string")
-    t = trade_raw(spark, folder)
     salt = F.conv(F.substring("source_raw_record_id", 1, 4), 16, 10).cast("int")
-    hit = lambda divisor, rest=0: salt % divisor == rest
+    t = trade_raw(spark, folder).withColumn("salt", salt)
+    hit = lambda divisor, rest=0: F.col("salt") % divisor == rest
     trade_payload = F.create_map(
         F.lit("ibExecID"), F.when(hit(37), "  ").otherwise(F.col("ib_exec_id")),
         F.lit("transactionID"), F.col("transaction_id"),
