@@ -99,7 +99,7 @@ _VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
           o.open_q - coalesce(sum(p.m), 0) AS remaining, o.px, o.unit_fee, coalesce(sum(p.pnl), 0) AS realized, max(p.closed_at) AS last_close
         FROM opens o LEFT JOIN match_pnl p ON p.account_id = o.account_id AND p.instrument_id = o.instrument_id
           AND p.direction = o.direction AND p.open_fill_id = o.fill_id
-        GROUP BY ALL""",
+        GROUP BY o.account_id, o.instrument_id, o.direction, o.fill_id, o.trade_timestamp_utc, o.open_q, o.px, o.unit_fee""",
         ("opens", "match_pnl"),
     ),
     "realized": (
@@ -285,10 +285,10 @@ _VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
         FROM actions_raw""",
         ("actions_raw",),
     ),
-    "good_trades": ("SELECT * FROM trade_rows WHERE routed AND len(list_filter(faults, f -> f IS NOT NULL)) = 0", ("trade_rows",)),
-    "good_cash": ("SELECT * FROM cash_rows WHERE len(list_filter(faults, f -> f IS NOT NULL)) = 0", ("cash_rows",)),
-    "good_fx": ("SELECT * FROM fx_rows WHERE len(list_filter(faults, f -> f IS NOT NULL)) = 0", ("fx_rows",)),
-    "good_actions": ("SELECT * FROM action_rows WHERE routed AND len(list_filter(faults, f -> f IS NOT NULL)) = 0", ("action_rows",)),
+    "good_trades": ("SELECT * FROM trade_rows WHERE routed AND len(list_filter(faults, lambda f: f IS NOT NULL)) = 0", ("trade_rows",)),
+    "good_cash": ("SELECT * FROM cash_rows WHERE len(list_filter(faults, lambda f: f IS NOT NULL)) = 0", ("cash_rows",)),
+    "good_fx": ("SELECT * FROM fx_rows WHERE len(list_filter(faults, lambda f: f IS NOT NULL)) = 0", ("fx_rows",)),
+    "good_actions": ("SELECT * FROM action_rows WHERE routed AND len(list_filter(faults, lambda f: f IS NOT NULL)) = 0", ("action_rows",)),
     "run_events": (
         """
         SELECT 'r-' || user_id || '-' || strftime(ts, '%Y%m%d') AS run_id, 'U' || (user_id % 3) AS account_id,
@@ -324,7 +324,7 @@ _VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
           CASE WHEN o_orderkey % 3 <> 0 THEN 'OpenPositions' END, CASE WHEN o_orderkey % 4 <> 0 THEN 'CorporateActions' END,
           CASE WHEN o_orderkey % 4 <> 0 THEN 'ConversionRates' END, CASE WHEN o_orderkey % 5 <> 0 THEN 'SecuritiesInfo' END,
           CASE WHEN o_orderkey % 5 <> 0 THEN 'AccountInformation' END, CASE WHEN o_orderkey % 2 = 0 THEN 'MTMPerformanceSummaryInBase' END,
-          CASE WHEN o_orderkey % 7 = 0 THEN 'FIFOPerformanceSummaryInBase' END], s -> s IS NOT NULL)) AS present
+          CASE WHEN o_orderkey % 7 = 0 THEN 'FIFOPerformanceSummaryInBase' END], lambda s: s IS NOT NULL)) AS present
         FROM statement_rows WHERE reason IS NULL""",
         ("statement_rows",),
     ),
@@ -537,8 +537,8 @@ def oracle_queries() -> dict[str, str]:
         "required_sections": _with(
             """SELECT payload_id, array_to_string(present, ',') AS detected_sections, array_to_string(hard, ',') AS missing_hard_required,
             array_to_string(recon, ',') AS missing_reconciliation_required, array_to_string(list_sort(hard || recon), ',') AS missing_sections, len(hard) + len(recon) = 0 AS is_valid
-            FROM (SELECT *, list_filter(['AccountInformation', 'CashTransactions', 'ConversionRates', 'CorporateActions', 'OpenPositions', 'SecuritiesInfo', 'Trades'], s -> NOT list_contains(present, s)) AS hard,
-              list_filter(['FIFOPerformanceSummaryInBase', 'MTMPerformanceSummaryInBase'], s -> NOT list_contains(present, s)) AS recon FROM sections)""",
+            FROM (SELECT *, list_filter(['AccountInformation', 'CashTransactions', 'ConversionRates', 'CorporateActions', 'OpenPositions', 'SecuritiesInfo', 'Trades'], lambda s: NOT list_contains(present, s)) AS hard,
+              list_filter(['FIFOPerformanceSummaryInBase', 'MTMPerformanceSummaryInBase'], lambda s: NOT list_contains(present, s)) AS recon FROM sections)""",
             "sections",
         ),
         "parse_dates": "SELECT o_orderkey, CAST(o_orderkey % 11 AS INTEGER) AS form, CASE WHEN o_orderkey % 11 <> 7 THEN CAST(o_orderdate AS DATE) END AS parsed_date FROM orders",
@@ -636,14 +636,14 @@ def oracle_queries() -> dict[str, str]:
         "eod_mark": _with(
             f"""WITH asked AS (SELECT DISTINCT account_id, instrument_id, unnest([report_date_local, last_day(report_date_local), last_day(report_date_local) - 31]) AS report_date_local FROM firsts),
             ranked AS (SELECT account_id, instrument_id, report_date_local, price, CASE WHEN fx_rate_to_base IS NOT NULL AND net_cash IS NOT NULL THEN price + 1 END AS close_price,
-              (trade_timestamp_utc, CAST(transaction_id AS BIGINT), source_raw_record_id) AS at FROM firsts)
+              (trade_timestamp_utc, CAST(transaction_id AS BIGINT), source_raw_record_id) AS place FROM firsts)
             SELECT a.account_id, a.instrument_id, a.report_date_local, CAST(coalesce(v.mark_price, c.close_price, l.price) AS {D}) AS mark_price,
               CASE WHEN v.mark_price IS NOT NULL THEN 'open_position_mark' WHEN c.close_price IS NOT NULL THEN 'trade_close_price' WHEN l.price IS NOT NULL THEN 'last_trade_price' END AS mark_source,
               v.mark_price IS NULL AND c.close_price IS NULL AS provisional,
               CASE WHEN v.mark_price IS NOT NULL OR c.close_price IS NOT NULL THEN NULL WHEN l.price IS NOT NULL THEN 'EOD_MARK_FALLBACK_LAST_TRADE' ELSE 'EOD_MARK_MISSING_ALL_SOURCES' END AS diagnostic_code
             FROM asked a LEFT JOIN valuations v USING (account_id, instrument_id, report_date_local)
-            LEFT JOIN (SELECT account_id, instrument_id, report_date_local, arg_max(close_price, at) AS close_price FROM ranked WHERE close_price IS NOT NULL GROUP BY ALL) c USING (account_id, instrument_id, report_date_local)
-            LEFT JOIN (SELECT a.account_id, a.instrument_id, a.report_date_local, arg_max(r.price, r.at) AS price FROM asked a JOIN ranked r ON r.account_id = a.account_id AND r.instrument_id = a.instrument_id
+            LEFT JOIN (SELECT account_id, instrument_id, report_date_local, arg_max(close_price, place) AS close_price FROM ranked WHERE close_price IS NOT NULL GROUP BY ALL) c USING (account_id, instrument_id, report_date_local)
+            LEFT JOIN (SELECT a.account_id, a.instrument_id, a.report_date_local, arg_max(r.price, r.place) AS price FROM asked a JOIN ranked r ON r.account_id = a.account_id AND r.instrument_id = a.instrument_id
               AND r.report_date_local <= a.report_date_local GROUP BY ALL) l USING (account_id, instrument_id, report_date_local)""".replace("WITH asked", ", asked", 1),
             "firsts", "valuations",
         ).replace(" , asked", ", asked", 1),
