@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from tallystone.functions import dates, ids, text, timeline
 from tallystone.operators import corporate, export, fallback, fifo, listing, mapping, merge, preflight, quality, reports, runs, snapshot
 from tallystone.operators.scan import split_points
+from tallystone import schemas
+from tallystone.plans import jobs
+from tallystone.plans.store import Store
 from tallystone.schemas import NATURAL_KEYS
-from tallystone.session import stored
+from tallystone.session import scratch_path, stored
 from tallystone.sources import star, statements, tables
+from tallystone.streaming import incremental
 
 TRADE_ORDER = ("trade_timestamp_utc", "source_raw_record_id")
 CASH_ORDER = ("effective_at_utc", "source_raw_record_id")
@@ -244,7 +248,7 @@ def resolved_events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _parsed(spark: SparkSession, folder: str) -> DataFrame:
-    return statements.parse_payloads(star.statement_payloads(spark, folder))
+    return statements.parse_payloads(star.statement_payloads(star.table(spark, folder, "orders")))
 
 
 def xml_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -562,6 +566,77 @@ def csv_contract(spark: SparkSession, folder: str) -> DataFrame:
     return export.as_text(rows)
 
 
+# streams
+
+
+def _in_files(df: DataFrame, day: str, ends: tuple[str, ...]) -> DataFrame:
+    """Rows as a stream of files in date order, one file group per micro-batch."""
+    path = scratch_path(df.sparkSession, "feed")
+    bounds = [None, *ends, None]
+    for first, last in zip(bounds, bounds[1:]):
+        listing.between(df, day, first).where(F.col(day) < F.lit(last).cast("date") if last else F.lit(True)).coalesce(1).write.mode("append").parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
+    """Statements of all orders through the ingest job; raw rows by section and rejections by reason."""
+    root = scratch_path(spark, "ledger")
+    store = Store(spark, f"{root}/tables", buckets=8)
+    payloads = star.statement_payloads(star.table_stream(spark, folder, "orders"))
+    incremental.ingest_payload_stream(payloads, store, f"{root}/checkpoint", "stream", strict=False, require_sections=False)
+    raw = store.read("raw_record", schemas.RAW_RECORD).groupBy(F.col("section_name").alias("name")).agg(F.count(F.lit(1)).alias("row_count"))
+    bad = store.read("rejected_payload", jobs.REJECTED).groupBy(F.col("reason").alias("name")).agg(F.count(F.lit(1)).alias("row_count"))
+    return raw.select(F.lit("raw").alias("kind"), "*").unionByName(bad.select(F.lit("rejected").alias("kind"), "*"))
+
+
+def stream_corrections(spark: SparkSession, folder: str) -> DataFrame:
+    """Cash rows month by month; repeated keys become corrections."""
+    root = scratch_path(spark, "cash")
+    store = Store(spark, f"{root}/tables", buckets=8)
+    feed = _in_files(star.cashflow_raw(spark, folder), "effective_at_utc", ("2024-01-15", "2024-02-15"))
+    rule = lambda existing, batch: merge.merge_cashflows(existing, batch, CASH_ORDER)
+    keys = NATURAL_KEYS["event_cashflow"]
+    incremental.merge_stream(feed, store, f"{root}/checkpoint", "event_cashflow", schemas.CASHFLOW, keys, rule)
+    return store.read("event_cashflow", schemas.CASHFLOW)
+
+
+def stream_dedupe(spark: SparkSession, folder: str) -> DataFrame:
+    event = star.table_stream(spark, folder, "events")
+    keys = ["user_id", "event_type", "bucket"]
+    rows = event.select("user_id", "event_type", (F.col("event_id") % 7).alias("bucket"), F.col("ts").cast("timestamp").alias("at"))
+    path = scratch_path(spark, "dedupe")
+    incremental.distinct_stream(rows, keys, "at", "400 days", path)
+    return spark.read.parquet(f"{path}/rows").select(*keys)
+
+
+def stream_stage_window(spark: SparkSession, folder: str) -> DataFrame:
+    event = star.table_stream(spark, folder, "events")
+    rows = event.select(
+        F.col("event_type").alias("stage"), F.when(F.col("event_type") == "error", "failed").otherwise("completed").alias("status"),
+        F.col("ts").cast("timestamp").alias("at"),
+    )
+    path = scratch_path(spark, "windows")
+    incremental.stage_windows(rows, "1 hour", "1 day", path)
+    counts = incremental.read_stage_windows(spark, path)
+    return counts.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "stage", "status", "event_count")
+
+
+def stream_fifo(spark: SparkSession, folder: str) -> DataFrame:
+    """Fills in four micro-batches through the incremental lot matcher."""
+    root = scratch_path(spark, "fifo")
+    store = Store(spark, f"{root}/tables", buckets=8)
+    feed = _in_files(star.fills(spark, folder), "report_date_local", ("1997-01-01", "1999-01-01", "2000-06-01"))
+    incremental.fifo_stream(feed, store, f"{root}/checkpoint")
+    realized = store.read("realized", incremental.REALIZED)
+    lots = store.read("open_lot", incremental.FILL).groupBy("account_id", "instrument_id").agg(
+        F.count(F.lit(1)).alias("open_lot_count"), F.sum("quantity").cast(text.MONEY).alias("open_quantity")
+    )
+    return realized.join(lots, ["account_id", "instrument_id"], "left").select(
+        "account_id", "instrument_id", F.col("realized").cast(text.MONEY).alias("realized_pnl"), F.coalesce("open_lot_count", F.lit(0).cast("bigint")).alias("open_lot_count"),
+        F.coalesce("open_quantity", F.lit(0)).cast(text.MONEY).alias("open_quantity"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -575,5 +650,6 @@ QUERIES = {
         missing_sections, canonical_details, error_codes, latest_run, slo_success_rate, slo_p95, retention_split, dq_rules,
         eod_mark, fx_fallback, corp_action_class, provisional_scope, pnl_by_instrument, pnl_by_label, group_summary, label_rollup,
         recon_diff, provenance, drilldown, csv_contract,
+        stream_ingest, stream_corrections, stream_dedupe, stream_stage_window, stream_fifo,
     )
 }

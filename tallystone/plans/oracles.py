@@ -359,7 +359,7 @@ _SNAPSHOT_ID = "'snapshot:' || account_id || ':' || CAST(report_date_local AS VA
 
 
 def oracle_queries() -> dict[str, str]:
-    return {
+    sqls = {
         "fifo_realized": _with(
             f"SELECT n.account_id, n.instrument_id, CAST(coalesce(r.realized, 0) AS {D}) AS realized_pnl, n.fill_count FROM (SELECT account_id, instrument_id, count(*) AS fill_count FROM fills GROUP BY ALL) n LEFT JOIN realized r USING (account_id, instrument_id)",
             "fills", "realized",
@@ -702,6 +702,16 @@ def oracle_queries() -> dict[str, str]:
             "firsts", "instruments", "labels",
         ),
         "label_rollup": _with("SELECT report_date_local, 'x' AS label_id, total_pnl, total_pnl AS instrument_total FROM snapshot WHERE false", "snapshot"),
+        "stream_corrections": _with("SELECT * FROM cash_merged", "cash_merged"),
+        "stream_dedupe": "SELECT DISTINCT user_id, event_type, event_id % 7 AS bucket FROM events",
+        "stream_stage_window": """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS window_start, event_type AS stage,
+            CASE WHEN event_type = 'error' THEN 'failed' ELSE 'completed' END AS status, count(*) AS event_count FROM events GROUP BY ALL""",
+        "stream_fifo": _with(
+            f"""SELECT n.account_id, n.instrument_id, CAST(coalesce(r.realized, 0) AS {D}) AS realized_pnl, coalesce(l.lots, 0) AS open_lot_count, CAST(coalesce(l.q, 0) AS {D}) AS open_quantity
+            FROM net n LEFT JOIN realized r USING (account_id, instrument_id) LEFT JOIN (
+              SELECT account_id, instrument_id, count(*) AS lots, sum(remaining) AS q FROM lots WHERE remaining > 0 GROUP BY ALL) l USING (account_id, instrument_id)""",
+            "net", "realized", "lots",
+        ),
         "csv_contract": _with(
             """SELECT CAST(s.report_date_local AS VARCHAR) AS report_date_local, instrument_id, i.conid, i.symbol, s.currency, CAST(position_qty AS VARCHAR) AS position_qty,
             CAST(cost_basis AS VARCHAR) AS cost_basis, CAST(realized_pnl AS VARCHAR) AS realized_pnl, CAST(unrealized_pnl AS VARCHAR) AS unrealized_pnl, CAST(total_pnl AS VARCHAR) AS total_pnl,
@@ -709,6 +719,11 @@ def oracle_queries() -> dict[str, str]:
             "snapshot", "instruments",
         ),
     }
+    xml = sqls["xml_rows"]
+    views, body = xml.split(") SELECT payload_id, r.s", 1)
+    sqls["stream_ingest"] = f"""{views}), rows AS (SELECT payload_id, r.s{body}) SELECT 'raw' AS kind, section_name AS name, count(*) AS row_count FROM rows GROUP BY ALL
+        UNION ALL SELECT 'rejected', reason, count(*) FROM statement_rows WHERE reason IS NOT NULL GROUP BY ALL"""
+    return sqls
 
 
 def _message_rows() -> str:

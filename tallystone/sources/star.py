@@ -22,6 +22,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The same table as a stream of its files."""
+    schema = table(spark, folder, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+
+
 def _pick(index: Column, values: tuple[str, ...]) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (index + 1).cast("int"))
 
@@ -348,9 +354,8 @@ def raw_records(spark: SparkSession, folder: str) -> DataFrame:
     return trades.unionByName(cash).unionByName(fx).unionByName(actions)
 
 
-def statement_payloads(spark: SparkSession, folder: str) -> DataFrame:
+def statement_payloads(order: DataFrame) -> DataFrame:
     """One XML statement per order, written from the order's own columns; some are broken."""
-    order = table(spark, folder, "orders")
     key = F.col("o_orderkey")
     k, cust = key.cast("string"), F.col("o_custkey").cast("string")
     day = F.date_format("o_orderdate", "yyyyMMdd")
