@@ -227,12 +227,12 @@ def row_tag_route(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def batch_counters(spark: SparkSession, folder: str) -> DataFrame:
-    return mapping.batch_counts(mapping.build_canonical(_raw(spark, folder), star.BASE_CURRENCY))
+    return mapping.batch_counts(mapping.build_canonical(_raw(spark, folder), star.BASE_CURRENCY, hold=stored))
 
 
 def resolved_events(spark: SparkSession, folder: str) -> DataFrame:
     """Events per kind with and without a known instrument."""
-    batch = mapping.build_canonical(_raw(spark, folder), star.BASE_CURRENCY)
+    batch = mapping.build_canonical(_raw(spark, folder), star.BASE_CURRENCY, hold=stored)
     known = stored(merge.merge_instruments(None, batch.instruments), "instruments")
     rows = None
     for kind, df in (("trade", batch.trades), ("cashflow", batch.cashflows), ("corp_action", batch.corp_actions)):
