@@ -40,7 +40,7 @@ def eod_marks(targets: DataFrame, open_positions: DataFrame, trades: DataFrame)
         F.max_by("mark_price", "raw_record_id").alias("position_mark")
     )
     asked = targets.select(*KEYS, DAY).distinct()
-    last = asof_by_date(asked, daily.where(F.col("last_trade").isNotNull()), KEYS, DAY, ["last_trade"])
+    last = asof_by_date(asked, daily.where(F.col("last_trade").isNotNull()), KEYS, DAY, ["last_trade"], greatest=True)
     joined = (
         last.join(daily.select(*KEYS, DAY, "close_price"), [*KEYS, DAY], "left").join(marks, [*KEYS, DAY], "left")
     )
