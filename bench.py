@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import time
 
 from tallystone.plans.catalog import QUERIES
@@ -11,8 +12,8 @@ from tallystone.session import local_session
 
 HEADLINE = (
     "fifo_position", "fifo_realized", "fifo_open_lots", "fifo_matches", "last_price", "cash_totals", "valuation_latest", "snapshot_daily",
-    "trade_merge", "cashflow_merge", "fx_merge", "instrument_merge", "raw_dedupe_counts", "artifact_dedupe", "map_trades", "map_violations",
-    "xml_rows", "required_sections", "parse_dates", "parse_timestamps", "eod_mark", "fx_fallback", "pnl_by_label", "recon_diff",
+    "trade_merge", "cashflow_merge", "fx_merge", "instrument_merge", "raw_dedupe_counts", "artifact_dedupe", "map_trades",
+    "xml_rows", "parse_dates", "parse_timestamps", "eod_mark", "fx_fallback", "pnl_by_label",
     "provenance", "drilldown", "dq_rules", "run_state", "slo_success_rate", "slo_p95",
 )
 
@@ -28,6 +29,7 @@ def main() -> None:
         began = time.perf_counter()
         QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - began, 3)
+        print(name, seconds[name], file=sys.stderr, flush=True)
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "sf": os.path.basename(folder.rstrip("/"))}))
     spark.stop()
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallystone.functions.text import MONEY, RATE
@@ -28,32 +28,34 @@ def eod_marks(targets: DataFrame, open_positions: DataFrame, trades: DataFrame)
     """Mark of each (account, instrument, report date) of ``targets``.
 
     1. mark of an open-position row of that date; 2. ``close_price`` of that date's latest
-    trade; 3. price of the last trade on or before the date, provisional. Trades are
-    first reduced to one row per instrument and day."""
+    trade; 3. price of the last trade on or before the date, provisional. All three inputs
+    are first reduced to one row per instrument and day in one aggregate, so the running
+    maximum sees days, however many trades an instrument has."""
     number = F.col("transaction_id").try_cast("decimal(38,0)")
     at = F.struct(F.col("trade_timestamp_utc").alias("at"), number.alias("number"), F.col("source_raw_record_id").alias("raw"))
-    daily = trades.groupBy(*KEYS, DAY).agg(
-        F.max_by("close_price", F.when(F.col("close_price").isNotNull(), at)).alias("close_price"),
-        F.max(F.when(F.col("price").isNotNull(), F.struct(at.alias("at"), F.col("price").alias("price")))).alias("last_trade"),
-    )
-    marks = open_positions.where(F.col("mark_price").isNotNull()).groupBy(*KEYS, DAY).agg(
-        F.max_by("mark_price", "raw_record_id").alias("position_mark")
+    traded = trades.select(
+        *KEYS,
+        DAY,
+        F.when(F.col("price").isNotNull(), F.struct(at.alias("at"), F.col("price").alias("price"))).alias("last_trade"),
+        F.when(F.col("close_price").isNotNull(), F.struct(at.alias("at"), F.col("close_price").alias("price"))).alias("close"),
     )
-    asked = targets.select(*KEYS, DAY).distinct()
-    last = asof_by_date(asked, daily.where(F.col("last_trade").isNotNull()), KEYS, DAY, ["last_trade"], greatest=True)
-    joined = (
-        last.join(daily.select(*KEYS, DAY, "close_price"), [*KEYS, DAY], "left").join(marks, [*KEYS, DAY], "left")
+    marked = open_positions.where(F.col("mark_price").isNotNull()).select(
+        *KEYS, DAY, F.struct(F.col("raw_record_id").alias("raw"), F.col("mark_price").alias("price")).alias("mark")
     )
-    trade_price = F.col("asof.last_trade.price")
+    asked = targets.select(*KEYS, DAY, F.lit(True).alias("asked"))
+    rows = traded.unionByName(marked, allowMissingColumns=True).unionByName(asked, allowMissingColumns=True)
+    best = [F.max(name).alias(name) for name in ("last_trade", "close", "mark", "asked")]
+    so_far = Window.partitionBy(*KEYS).orderBy(DAY).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    days = rows.groupBy(*KEYS, DAY).agg(*best).withColumn("last_trade", F.max("last_trade").over(so_far)).where("asked")
     source = (
-        F.when(F.col("position_mark").isNotNull(), MARK_OPEN_POSITION)
-        .when(F.col("close_price").isNotNull(), MARK_CLOSE_PRICE)
-        .when(trade_price.isNotNull(), MARK_LAST_TRADE)
+        F.when(F.col("mark").isNotNull(), MARK_OPEN_POSITION)
+        .when(F.col("close").isNotNull(), MARK_CLOSE_PRICE)
+        .when(F.col("last_trade").isNotNull(), MARK_LAST_TRADE)
     )
-    return joined.select(
+    return days.select(
         *KEYS,
         DAY,
-        F.coalesce("position_mark", "close_price", trade_price).cast(MONEY).alias("mark_price"),
+        F.coalesce("mark.price", "close.price", "last_trade.price").cast(MONEY).alias("mark_price"),
         source.alias("mark_source"),
         (source.isNull() | (source == MARK_LAST_TRADE)).alias("provisional"),
         F.when(source.isNull(), MARK_MISSING_CODE).when(source == MARK_LAST_TRADE, MARK_FALLBACK_CODE).alias("diagnostic_code"),

@@ -22,6 +22,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table in fewer files than there are cores, spread over them for costly
+    expressions. A large table has many files and stays where it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if not df.isStreaming and len(df.inputFiles()) < cores else df
+
+
 def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The same table as a stream of its files."""
     schema = table(spark, folder, name).schema
@@ -37,9 +44,9 @@ def cents(value: Column) -> Column:
     return value.cast("decimal(18,2)")
 
 
-def trade_raw(spark: SparkSession, folder: str) -> DataFrame:
+def trade_raw(spark: SparkSession, folder: str, item: DataFrame | None = None) -> DataFrame:
     """One execution per line item; the execution id repeats."""
-    item = table(spark, folder, "lineitem")
+    item = spread(table(spark, folder, "lineitem")) if item is None else item
     day = F.col("l_shipdate").cast("date")
     raw_id = F.md5(
         F.concat_ws(
@@ -82,7 +89,8 @@ def trade_raw(spark: SparkSession, folder: str) -> DataFrame:
 
 def fill_profile(spark: SparkSession, folder: str) -> DataFrame:
     """Keys and order of all executions: what hot keys are looked for in."""
-    return trade_raw(spark, folder).select("account_id", "instrument_id", "trade_timestamp_utc", "source_raw_record_id")
+    item = table(spark, folder, "lineitem")
+    return trade_raw(spark, folder, item).select("account_id", "instrument_id", "trade_timestamp_utc", "source_raw_record_id")
 
 
 def first_executions(trades: DataFrame) -> DataFrame:
@@ -356,6 +364,7 @@ def raw_records(spark: SparkSession, folder: str) -> DataFrame:
 
 def statement_payloads(order: DataFrame) -> DataFrame:
     """One XML statement per order, written from the order's own columns; some are broken."""
+    order = spread(order)
     key = F.col("o_orderkey")
     k, cust = key.cast("string"), F.col("o_custkey").cast("string")
     day = F.date_format("o_orderdate", "yyyyMMdd")
