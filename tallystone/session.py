@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+OWN_DIR = "spark.tallystone.scratch.dir"
+
 
 def local_session(cores: str = "8", app: str = "tallystone") -> SparkSession:
     """A local session for tests and the bench; clusters bring their own."""
@@ -24,14 +26,17 @@ def local_session(cores: str = "8", app: str = "tallystone") -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder every executor can reach: ``spark.checkpoint.dir``, as the cluster names it.
+
+    Where it is unset, a local session gets a temporary folder of its own, kept under a
+    setting of this library (the cluster's setting can't be changed at run time)."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(OWN_DIR, None)
     if configured:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
     folder = tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set("spark.checkpoint.dir", folder)
+    spark.conf.set(OWN_DIR, folder)
     return folder
 
 
