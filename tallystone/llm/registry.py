@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallystone.llm import quality_rules
+from tallystone.llm import quality_rules, simhash_dedup
 from tallystone.llm.common import table
 
 
@@ -15,8 +15,12 @@ def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judged(docs, quality_rules.learned(docs, table(spark, folder, "labels")))
 
 
+def op5_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash_dedup.linked(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_quality_rules,)}
+    return {f.__name__: f for f in (op3_quality_rules, op5_simhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
