@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallystone.llm import quality_rules, simhash_dedup
+from tallystone.llm import line_dedup, quality_rules, simhash_dedup
 from tallystone.llm.common import table
 
 
+def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.judged(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return quality_rules.judged(docs, quality_rules.learned(docs, table(spark, folder, "labels")))
@@ -20,7 +24,7 @@ def op5_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_quality_rules, op5_simhash_dedup)}
+    return {f.__name__: f for f in (op1_line_dedup, op3_quality_rules, op5_simhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
