@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallystone.llm import line_dedup, quality_rules, simhash_dedup
+from tallystone.llm import decontamination, line_dedup, quality_rules, simhash_dedup
 from tallystone.llm.common import table
 
 
@@ -23,9 +23,13 @@ def op5_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_dedup.linked(table(spark, folder, "documents").select("doc_id", "text"))
 
 
+def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.judged(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark").select("item_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op3_quality_rules, op5_simhash_dedup)}
+    return {f.__name__: f for f in (op1_line_dedup, op3_quality_rules, op5_simhash_dedup, op6_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_decontamination": decontamination.ORACLE}
