@@ -16,6 +16,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand texts to Python workers ``rows`` at a time, so that their memory is bounded by that
+    many texts; a smaller setting of the session stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def free_name(df: DataFrame, wish: str) -> str:
     """``wish``, made longer until ``df`` has no such column (Spark compares names without case)."""
     taken = {c.lower() for c in df.columns}

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from tallystone.llm import decontamination, line_dedup, quality_rules, simhash_dedup
+from tallystone.llm import decontamination, line_dedup, packing, quality_rules, sharding, simhash_dedup
 from tallystone.llm.common import table
 
 
@@ -19,6 +20,10 @@ def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judged(docs, quality_rules.learned(docs, table(spark, folder, "labels")))
 
 
+def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.sharded(table(spark, folder, "documents").select("doc_id", "source", "text"))
+
+
 def op5_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_dedup.linked(table(spark, folder, "documents").select("doc_id", "text"))
 
@@ -27,8 +32,20 @@ def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.judged(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark").select("item_id", "text"))
 
 
+def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op3_quality_rules, op5_simhash_dedup, op6_decontamination)}
+    found = (
+        op1_line_dedup,
+        op3_quality_rules,
+        op4_sharding,
+        op5_simhash_dedup,
+        op6_decontamination,
+        op9_packing,
+    )
+    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
