@@ -5,8 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
+import pandas as pd
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tallystone.session import shared_dir
 
 #: Bytes that part words: space and \t \n \v \f \r (``bytes.split()`` parts at the same six).
 BLANK = "[ \\t-\\r]+"
@@ -24,6 +29,29 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def shrunk(text: Column) -> Column:
+    """A text as compressed bytes, for shuffles of whole texts; null stays null."""
+
+    @F.pandas_udf(T.BinaryType())
+    def of(texts: pd.Series) -> pd.Series:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        return texts.map(lambda t: None if t is None else pack(t.encode()))
+
+    return of(text)
+
+
+def grown(packed: bytes | None) -> str | None:
+    return None if packed is None else zstandard.ZstdDecompressor().decompress(packed).decode()
+
+
+def held(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in the shared folder, with its partitions as they are."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint()
+
+
 def free_name(df: DataFrame, wish: str) -> str:
     """``wish``, made longer until ``df`` has no such column (Spark compares names without case)."""
     taken = {c.lower() for c in df.columns}

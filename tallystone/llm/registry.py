@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from tallystone.llm import decontamination, line_dedup, packing, quality_rules, sharding, simhash_dedup
+from tallystone.llm import decontamination, line_dedup, packing, quality_rules, secret_scan, sharding, simhash_dedup, url_filter
 from tallystone.llm.common import table
 
 
@@ -32,10 +32,18 @@ def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.judged(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark").select("item_id", "text"))
 
 
+def op7_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.judged(table(spark, folder, "documents").select("doc_id", "source", "text"))
+
+
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(table(spark, folder, "documents").select("doc_id", "text"))
 
 
+def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judged(table(spark, folder, "pages").select("page_id", "url"), url_filter.rule_table(spark))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_line_dedup,
@@ -43,10 +51,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op4_sharding,
         op5_simhash_dedup,
         op6_decontamination,
+        op7_secret_scan,
         op9_packing,
+        op10_url_filter,
     )
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontamination": decontamination.ORACLE}
+    return {"op6_decontamination": decontamination.ORACLE, "op10_url_filter": url_filter.ORACLE}
