@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from tallystone.llm import decontamination, line_dedup, packing, quality_rules, secret_scan, sharding, simhash_dedup, url_filter
+from tallystone.llm import decontamination, line_dedup, packing, quality_rules, secret_scan, sharding, simhash_dedup, url_filter, window_dedup
 from tallystone.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op7_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.judged(table(spark, folder, "documents").select("doc_id", "source", "text"))
 
 
+def op8_window_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return window_dedup.judged(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(table(spark, folder, "documents").select("doc_id", "text"))
 
@@ -52,6 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op5_simhash_dedup,
         op6_decontamination,
         op7_secret_scan,
+        op8_window_dedup,
         op9_packing,
         op10_url_filter,
     )
@@ -59,4 +64,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontamination": decontamination.ORACLE, "op10_url_filter": url_filter.ORACLE}
+    return {
+        "op6_decontamination": decontamination.ORACLE,
+        "op8_window_dedup": window_dedup.ORACLE,
+        "op10_url_filter": url_filter.ORACLE,
+    }
