@@ -6,7 +6,7 @@ around them, so a passage that several documents share is cut alike wherever it
 chunks have two lines or more. Chunks of equal bytes that stand in more than one place of the
 corpus are repeated: the first (smallest doc_id, then first in the text) stays, later ones go.
 
-One aggregate over (hash, bytes) compares the bytes; copies combine map-side, so a chunk that a
+One aggregate over (hash, compressed bytes) compares the bytes; copies combine map-side, so a chunk that a
 third of the documents share is one row per task. Every place is then joined to the chunk's first
 document on the 64-bit hash; where different bytes share a hash, the bytes go along and decide.
 
@@ -23,10 +23,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallystone.llm.common import column, free_name
+from tallystone.llm.common import column, free_name, grown, shrunk, small_batches
 
 LINES = 2  # lines under the rolling hash
 
@@ -71,10 +72,11 @@ def _candidates(text: str | None) -> list[tuple[int, bytes]]:
 
 
 def _occurrences(batches: Iterator[pd.DataFrame], with_bytes: bool) -> Iterator[pd.DataFrame]:
+    pack = zstandard.ZstdCompressor(level=1).compress  # one version of it: equal bytes stay equal
     for batch in batches:
         for at in range(0, len(batch), 512):
             rows = [
-                (id_, h, c) if with_bytes else (id_, t, h)
+                (id_, h, pack(c)) if with_bytes else (id_, t, h)
                 for id_, t, text in batch.iloc[at : at + 512].itertuples(index=False)
                 for h, c in _candidates(text)
             ]
@@ -88,7 +90,8 @@ def _without(text: str | None, id_: int, known: list) -> tuple[str | None, int,
     whole = text.encode()
     repeated: dict[int, list] = {}
     for k in known if known is not None else ():
-        repeated.setdefault(k["h"], []).append((k["first"], k["bytes"]))
+        clash = k["bytes"] and zstandard.ZstdDecompressor().decompress(k["bytes"])
+        repeated.setdefault(k["h"], []).append((k["first"], clash))
     kept, seen = [], set()
     n_lines = n_chunks = n_removed = n_repeated = 0
     for a, b, n in chunks(whole):
@@ -126,9 +129,11 @@ def repeated_chunks(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """``docs`` with a struct column as RESULT: the text without later copies, and counts.
+    """``docs`` with a struct column as RESULT, the text without later copies and counts, in place
+    of the text.
 
     Returns (frame, name of the struct column)."""
+    small_batches(docs.sparkSession)
     names = [free_name(docs, n) for n in ("_id", "_t", "_known", "_result")]
     id_, t = F.coalesce(column(docs, "doc_id"), F.lit(LAST)), F.xxhash64(column(docs, "text"))
     base = docs.select(id_.alias("id"), t.alias("t"), column(docs, "text").alias("text"))
@@ -137,14 +142,16 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     clash = by_text.join(one.where("shared").select("h"), "h").select("h", "first", "bytes")
     places = base.mapInPandas(lambda b: _occurrences(b, False), "id bigint, t bigint, h bigint").distinct()
     known = places.join(plain.unionByName(clash), "h").groupBy("id", "t").agg(F.collect_list(F.struct("h", "first", "bytes")).alias("known"))
-    keyed = docs.withColumns({names[0]: id_, names[1]: t})
+    # whole texts cross the shuffle compressed
+    whole = free_name(docs, "_text")
+    keyed = docs.withColumns({names[0]: id_, names[1]: t, whole: shrunk(column(docs, "text"))}).drop("text")
     joined = keyed.join(known.toDF(*names[:3]), names[:2], "left")
 
     @F.pandas_udf(RESULT)
     def result(texts: pd.Series, ids: pd.Series, known: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_without(*row) for row in zip(texts, ids, known)], columns=[c.split()[0] for c in RESULT.split(", ")])
+        return pd.DataFrame([_without(grown(text), id_, k) for text, id_, k in zip(texts, ids, known)], columns=[c.split()[0] for c in RESULT.split(", ")])
 
-    return joined.withColumn(names[3], result(column(joined, "text"), F.col(names[0]), F.col(names[2]))).drop(*names[:3]), names[3]
+    return joined.withColumn(names[3], result(F.col(whole), F.col(names[0]), F.col(names[2]))).drop(*names[:3], whole), names[3]
 
 
 def judged(docs: DataFrame) -> DataFrame:
