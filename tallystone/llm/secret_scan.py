@@ -30,9 +30,9 @@ BASE = (
     ("access", "AKIA[A-Z0-9]+", 0, 20),
     ("hex", "[0-9a-f]{24,}", 0, 24),
 )
-#: Candidates of the method: words of such signs, with small and capital letters and digits.
+#: Candidates of the method: runs of such signs, with letters and digits.
 TOKEN = "[A-Za-z0-9+/_=-]{20,}"
-MIXED = ("[a-z]", "[A-Z]", "[0-9]")
+MIXED = ("[A-Za-z]", "[0-9]")
 MAX_OWNERS = 1
 MAX_REPOSITORIES = 2
 
