@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from tallystone.llm import decontamination, line_dedup, packing, quality_rules, secret_scan, sharding, simhash_dedup, url_filter, window_dedup
+from tallystone.llm import decontamination, line_dedup, packing, quality_rules, secret_scan, sharding, simhash_dedup, suffix_dedup, url_filter, window_dedup
 from tallystone.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.judged(table(spark, folder, "documents").select("doc_id", "text"))
 
 
+def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.judged(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return quality_rules.judged(docs, quality_rules.learned(docs, table(spark, folder, "labels")))
@@ -51,6 +55,7 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_line_dedup,
+        op2_suffix_dedup,
         op3_quality_rules,
         op4_sharding,
         op5_simhash_dedup,
