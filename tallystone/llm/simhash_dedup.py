@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallystone.llm.common import column, free_name
+from tallystone.llm.common import column, free_name, small_batches
 from tallystone.llm.components import components
 from tallystone.session import stored
 
@@ -132,6 +132,7 @@ def links(distinct: DataFrame) -> DataFrame:
 
 def linked(docs: DataFrame, k: int = 3) -> DataFrame:
     """doc_id, fingerprint (hex) and component_id (smallest doc_id that links lead to)."""
+    small_batches(docs.sparkSession)
     prints = stored(docs.select("doc_id", fingerprints(F.col("text"), k).alias("fp")), "fingerprints")
     distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     label = components(links(distinct.select("fp"))).withColumnRenamed("node", "fp")
@@ -241,6 +242,7 @@ def similar(distinct: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 def without_near_copies(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE) -> DataFrame:
     """``docs`` with one row of each group of near copies: the smallest doc_id, then the smallest
     hash of the text. All columns stay."""
+    small_batches(docs.sparkSession)
     id_, text = column(docs, "doc_id"), column(docs, "text")
     last = F.lit((1 << 63) - 1)
     signed = docs.select(F.coalesce(id_, last).alias("id"), F.xxhash64(text).alias("h"), signatures(text, k).alias("s"))
