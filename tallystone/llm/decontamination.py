@@ -59,8 +59,10 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
 
 def _places(docs: DataFrame, k: int) -> DataFrame:
     """One row per shingle of a document, with the document's words at hand."""
-    words = docs.select("id", "h", words_of(F.col("text")).alias("words"))
-    return words.withColumn("hashes", _shingles(F.col("words"), k)).select("id", "h", "words", F.posexplode("hashes").alias("at", "token"))
+    # explode() of the one array, and the outer form below, keep the optimizer from moving filters
+    # beneath: there they would split the text again for every use of its words
+    words = docs.select("id", "h", F.explode(F.array(words_of(F.col("text")))).alias("words"))
+    return words.withColumn("hashes", _shingles(F.col("words"), k)).select("id", "h", "words", F.posexplode_outer("hashes").alias("at", "token"))
 
 
 def occurrences(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
