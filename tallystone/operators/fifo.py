@@ -11,8 +11,9 @@ the same place.
   running sums is enough (``fill_usage``).
 * Who closed whom (``lot_matches``) merges the ends of the opening and closing intervals.
 
-Amounts: quantities, prices and fees are ``decimal(18,8)``; the fee per unit is divided
-once per fill.
+Amounts: quantities, prices and fees are ``decimal(24,8)`` as the tables hold them. The fee
+that falls on a part of a fill is fee times part over quantity, divided once per use with 16
+places kept; amounts have 16 places and 20 digits before the point.
 """
 
 from __future__ import annotations
@@ -38,9 +39,9 @@ KEYS = ["account_id", "instrument_id"]
 ORDER = ["trade_timestamp_utc", "source_raw_record_id"]
 AXIS = [*KEYS, "direction"]
 
-UNIT = "decimal(18,8)"
-FEE_PER_UNIT = "decimal(19,12)"
+UNIT = MONEY
 AMOUNT = "decimal(38,16)"
+_PART = "decimal(36,16)"  # parts of a product, so that their sum keeps its places
 
 
 def trade_fee(fees: Column, commission: Column) -> Column:
@@ -59,28 +60,26 @@ def _signed(side: Column, quantity: Column) -> Column:
 
 
 def prepared_fills(fills: DataFrame) -> DataFrame:
-    """Fills with positive quantity, one signed quantity and one fee per unit.
+    """Fills with positive quantity, one signed quantity and one fee.
 
     Needs KEYS, ORDER, ``fill_id``, ``side``, ``quantity``, ``price``, ``fees`` and, when
-    present, ``withholding_tax``. The sign of a quantity is ignored; a fill of zero
+    present, ``withholding_tax`` and ``fee_quantity``, the units that the fees were paid for
+    (the rest of a partly closed lot keeps those of the whole). The sign of a quantity is ignored; a fill of zero
     quantity opens and closes nothing and its side is not looked at."""
     tax = F.coalesce(F.col("withholding_tax"), _zero(MONEY)) if "withholding_tax" in fills.columns else _zero(MONEY)
+    paid_for = F.coalesce("fee_quantity", "quantity") if "fee_quantity" in fills.columns else F.col("quantity")
     base = fills.select(
         *KEYS,
         *ORDER,
         "fill_id",
+        F.abs(paid_for).cast(UNIT).alias("fee_quantity"),
         normalized_side(F.col("side")).alias("side"),
         F.abs("quantity").cast(UNIT).alias("quantity"),
         F.col("price").cast(UNIT).alias("price"),
         (F.coalesce(F.col("fees"), _zero(MONEY)) + tax).cast(UNIT).alias("fee"),
     )
     traded = F.col("quantity") != 0
-    return base.withColumns(
-        {
-            "signed": F.when(traded, _signed(F.col("side"), F.col("quantity"))).otherwise(_zero(UNIT)),
-            "unit_fee": F.when(traded, F.col("fee") / F.col("quantity")).otherwise(_zero(UNIT)).cast(FEE_PER_UNIT),
-        }
-    )
+    return base.withColumn("signed", F.when(traded, _signed(F.col("side"), F.col("quantity"))).otherwise(_zero(UNIT)))
 
 
 def fifo_cuts(profile: DataFrame, **limits: int) -> DataFrame | None:
@@ -89,15 +88,38 @@ def fifo_cuts(profile: DataFrame, **limits: int) -> DataFrame | None:
 
 
 def _amount(price: str | Column, quantity: Column) -> Column:
+    """Exact product. Spark would round the product of two wide decimals to six places, so
+    factors of 1e10 or more are multiplied in two halves each."""
     price = F.col(price) if isinstance(price, str) else price
-    return (price * quantity.cast(UNIT)).cast(AMOUNT)
+    small = (F.abs(price) < 10**10) & (F.abs(quantity) < 10**10)
+    plain = price.cast("decimal(18,8)") * quantity.cast("decimal(18,8)")
+
+    def halves(value: Column) -> tuple[Column, Column]:
+        high = F.signum(value).cast("int") * F.floor(F.abs(value) / 10**8).cast("decimal(13,0)")
+        return high.cast("decimal(13,0)"), (value - high.cast("decimal(13,0)") * F.lit(10**8).cast("decimal(9,0)")).cast("decimal(16,8)")
+
+    (a, b), (c, d) = halves(price), halves(quantity)
+    thousands = F.lit(10**8).cast("decimal(9,0)")
+    cross = [((x * y).cast("decimal(28,8)") * thousands).cast(_PART) for x, y in ((a, d), (c, b))]
+    top = ((a * c).cast("decimal(12,0)") * F.lit(10**16).cast("decimal(17,0)")).cast(_PART)
+    wide = (top + cross[0]).cast(_PART) + (cross[1] + (b * d).cast(_PART)).cast(_PART)
+    return F.when(small, plain.cast(AMOUNT)).otherwise(wide.cast(AMOUNT))
+
+
+def fee_share(fee: Column, part: Column, whole: Column) -> Column:
+    """The part of a fee that falls on ``part`` of the ``whole`` units; the whole fee for all of them.
+
+    Spark keeps 18 places of a quotient below 1e12 units, and 8 beyond, which is then the
+    precision of the amount."""
+    usual = (F.abs(fee) < 10**10) & (whole < 10**12)
+    rate = (part.cast("decimal(20,8)") / whole.cast("decimal(20,8)")).cast("decimal(19,18)")
+    share = F.when(usual, (fee.cast("decimal(18,8)") * rate).cast(AMOUNT)).otherwise((_amount(fee, part) / whole).cast(AMOUNT))
+    return F.when(whole == 0, _zero(AMOUNT)).when(part == whole, fee.cast(AMOUNT)).otherwise(share)
 
 
 def _fee_of(quantity: Column) -> Column:
-    """Share of the fill's fee that falls on ``quantity`` of its units; exact for the whole fill."""
-    part = (F.col("unit_fee") * quantity.cast(UNIT)).cast(AMOUNT)
-    whole = (quantity == F.col("quantity")) & (quantity != 0)
-    return F.when(whole, F.col("fee").cast(AMOUNT)).otherwise(part)
+    """Share of the fill's fee that falls on ``quantity`` of its units."""
+    return fee_share(F.col("fee"), quantity, F.col("fee_quantity"))
 
 
 def fill_usage(fills: DataFrame, cuts: DataFrame | None = None) -> DataFrame:
@@ -136,7 +158,7 @@ def fill_usage(fills: DataFrame, cuts: DataFrame | None = None) -> DataFrame:
         "signed",
         "price",
         "fee",
-        "unit_fee",
+        "fee_quantity",
         "close_quantity",
         "open_quantity",
         own_opened.alias("open_end"),
@@ -213,7 +235,7 @@ def _axis_rows(usage: DataFrame) -> DataFrame:
     """Opening and closing intervals of all fills as one table of interval ends."""
     extra = [PIECE] if PIECE in usage.columns else []
     facts = F.struct(
-        "fill_id", "trade_timestamp_utc", "price", "fee", "unit_fee", "quantity",
+        "fill_id", "trade_timestamp_utc", "price", "fee", "fee_quantity", "quantity",
         "open_quantity", "remaining_quantity", "source_raw_record_id",
     )
     none = F.lit(None)
@@ -300,9 +322,7 @@ def _match_profit() -> Column:
     """(close price - unit basis) x quantity for longs, the reverse for shorts."""
     opened, closed, matched = F.col("opened_by"), F.col("closed_by"), F.col("matched_quantity")
     gain = _amount(closed["price"], matched) - _amount(opened["price"], matched)
-    open_fee = F.when(matched == opened["quantity"], opened["fee"].cast(AMOUNT)).otherwise(
-        (opened["unit_fee"] * matched.cast(UNIT)).cast(AMOUNT)
-    )
+    open_fee = fee_share(opened["fee"], matched, opened["fee_quantity"])
     return (F.when(F.col("direction") == "long", gain).otherwise(-gain) - open_fee).cast(AMOUNT)
 
 
@@ -330,9 +350,7 @@ def position_lots(fills: DataFrame, cuts: DataFrame | None = None) -> DataFrame:
         F.max("closed_by.trade_timestamp_utc").alias("last_close"),
     )
     opened, left = F.col("o.open_quantity"), F.col("o.remaining_quantity")
-    open_fee = F.when(opened == F.col("o.quantity"), F.col("o.fee").cast(AMOUNT)).otherwise(
-        (F.col("o.unit_fee") * opened.cast(UNIT)).cast(AMOUNT)
-    )
+    open_fee = fee_share(F.col("o.fee"), opened, F.col("o.fee_quantity"))
     value = _amount(F.col("o.price"), opened)
     cost = F.when(F.col("direction") == "long", value).otherwise(-value) + open_fee
     is_open = left > 0

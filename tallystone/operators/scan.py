@@ -52,8 +52,9 @@ def split_points(
     be exact for the result to be."""
     min_rows = MIN_ROWS if min_rows is None else min_rows
     max_pieces = MAX_PIECES if max_pieces is None else max_pieces
-    piece_rows = max(min_rows, -(-profile.count() // max_pieces))
-    hot = profile.groupBy(*keys).count().where(F.col("count") > piece_rows).select(*keys)
+    counts = stored(profile.groupBy(*keys).agg(F.count(F.lit(1)).alias("count")), "key-counts")
+    piece_rows = max(min_rows, -(-(counts.agg(F.sum("count")).first()[0] or 0) // max_pieces))
+    hot = counts.where(F.col("count") > piece_rows).select(*keys)
     hot_keys = hot.collect()  # at most max_pieces rows: each has more than 1/max_pieces of all
     if not hot_keys:
         return None

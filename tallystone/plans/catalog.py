@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,14 +26,32 @@ FIRST_LOAD_END = "1998-01-01"
 RETENTION_AS_OF = "2024-04-01"
 
 
-def _cuts(spark: SparkSession, folder: str) -> DataFrame | None:
-    return fifo.fifo_cuts(star.fill_profile(spark, folder))
+SPLIT_ROWS = 20  # keys above this many fills are cut in the *_split queries
+
+
+def _cuts(spark: SparkSession, folder: str, **limits: int) -> DataFrame | None:
+    return fifo.fifo_cuts(star.fill_profile(spark, folder), **limits)
 
 
 def fifo_realized(spark: SparkSession, folder: str) -> DataFrame:
     return fifo.realized_by_instrument(star.fills(spark, folder), _cuts(spark, folder))
 
 
+def fifo_realized_split(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with most keys cut into pieces, as hot keys are."""
+    return fifo.realized_by_instrument(star.fills(spark, folder), _cuts(spark, folder, min_rows=SPLIT_ROWS))
+
+
+def fifo_matches_split(spark: SparkSession, folder: str) -> DataFrame:
+    return fifo.lot_matches(star.fills(spark, folder), _cuts(spark, folder, min_rows=SPLIT_ROWS))
+
+
+def fifo_uneven_fees(spark: SparkSession, folder: str) -> DataFrame:
+    """Realized profit where fees don't divide by quantities, some quantities are zero or
+    negative, and some lie above 1e10."""
+    return fifo.realized_by_instrument(star.uneven_fills(spark, folder))
+
+
 def fifo_position(spark: SparkSession, folder: str) -> DataFrame:
     return fifo.position_by_instrument(star.fills(spark, folder))
 
@@ -179,12 +199,12 @@ def artifact_dedupe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _raw(spark: SparkSession, folder: str) -> DataFrame:
-    """The raw layer as a stored table."""
+    """The raw layer as a stored table, for jobs that map several sections."""
     return stored(star.raw_records(spark, folder), "raw")
 
 
 def map_trades(spark: SparkSession, folder: str) -> DataFrame:
-    mapped = mapping.clean(mapping.map_trades(_raw(spark, folder), star.BASE_CURRENCY))
+    mapped = mapping.clean(mapping.map_trades(star.raw_records(spark, folder), star.BASE_CURRENCY))
     return mapped.select(
         "source_raw_record_id", "account_id", "ib_exec_id", "conid", "side", "quantity", "price", "currency", "trade_timestamp_utc",
         "report_date_local", "commission", "fees", "fx_rate_to_base", "symbol", "asset_category", "instrument_description",
@@ -192,7 +212,7 @@ def map_trades(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def map_cashflows(spark: SparkSession, folder: str) -> DataFrame:
-    mapped = mapping.clean(mapping.map_cashflows(_raw(spark, folder), star.BASE_CURRENCY))
+    mapped = mapping.clean(mapping.map_cashflows(star.raw_records(spark, folder), star.BASE_CURRENCY))
     return mapped.select(
         "source_raw_record_id", "account_id", "transaction_id", "cash_action", "conid", "symbol", "amount", "currency",
         "effective_at_utc", "report_date_local", "withholding_tax", "fees",
@@ -200,7 +220,7 @@ def map_cashflows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def map_fx(spark: SparkSession, folder: str) -> DataFrame:
-    mapped = mapping.clean(mapping.map_fx(_raw(spark, folder), star.BASE_CURRENCY))
+    mapped = mapping.clean(mapping.map_fx(star.raw_records(spark, folder), star.BASE_CURRENCY))
     return mapped.select(
         "source_raw_record_id", "account_id", "transaction_id", "report_date_local", "currency", "functional_currency", "fx_rate",
         "fx_source", "provisional", "diagnostic_code",
@@ -208,7 +228,7 @@ def map_fx(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def map_corp_actions(spark: SparkSession, folder: str) -> DataFrame:
-    mapped = mapping.clean(mapping.map_corp_actions(_raw(spark, folder)))
+    mapped = mapping.clean(mapping.map_corp_actions(star.raw_records(spark, folder)))
     return mapped.select(
         "source_raw_record_id", "account_id", "action_id", "transaction_id", "conid", "reorg_code", "report_date_local",
         "currency", "description", "requires_manual",
@@ -221,7 +241,7 @@ def map_violations(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def row_tag_route(spark: SparkSession, folder: str) -> DataFrame:
-    raw = _raw(spark, folder)
+    raw = star.raw_records(spark, folder)
     where = mapping.route(F.col("section_name"), F.col("source_row_ref"), F.col("source_payload"))
     return raw.groupBy("section_name", where.alias("destination")).agg(F.count(F.lit(1)).alias("row_count"))
 
@@ -569,13 +589,15 @@ def csv_contract(spark: SparkSession, folder: str) -> DataFrame:
 # streams
 
 
-def _in_files(df: DataFrame, day: str, ends: tuple[str, ...]) -> DataFrame:
-    """Rows as a stream of files in date order, one file group per micro-batch."""
+def _arrivals(df: DataFrame, day: str, ends: tuple[str, ...]) -> Iterator[DataFrame]:
+    """A folder that gets the rows of one date range after the other; yields it as a stream
+    after each arrival."""
     path = scratch_path(df.sparkSession, "feed")
     bounds = [None, *ends, None]
     for first, last in zip(bounds, bounds[1:]):
-        listing.between(df, day, first).where(F.col(day) < F.lit(last).cast("date") if last else F.lit(True)).coalesce(1).write.mode("append").parquet(path)
-    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        arrived = listing.between(df, day, first).where(F.col(day) < F.lit(last).cast("date") if last else F.lit(True))
+        arrived.write.mode("append").parquet(path)
+        yield df.sparkSession.readStream.schema(df.schema).parquet(path)
 
 
 def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
@@ -593,10 +615,10 @@ def stream_corrections(spark: SparkSession, folder: str) -> DataFrame:
     """Cash rows month by month; repeated keys become corrections."""
     root = scratch_path(spark, "cash")
     store = Store(spark, f"{root}/tables", buckets=8)
-    feed = _in_files(star.cashflow_raw(spark, folder), "effective_at_utc", ("2024-01-15", "2024-02-15"))
     rule = lambda existing, batch: merge.merge_cashflows(existing, batch, CASH_ORDER)
     keys = NATURAL_KEYS["event_cashflow"]
-    incremental.merge_stream(feed, store, f"{root}/checkpoint", "event_cashflow", schemas.CASHFLOW, keys, rule)
+    for feed in _arrivals(star.cashflow_raw(spark, folder), "effective_at_utc", ("2024-01-15", "2024-02-15")):
+        incremental.merge_stream(feed, store, f"{root}/checkpoint", "event_cashflow", schemas.CASHFLOW, keys, rule)
     return store.read("event_cashflow", schemas.CASHFLOW)
 
 
@@ -625,8 +647,12 @@ def stream_fifo(spark: SparkSession, folder: str) -> DataFrame:
     """Fills in four micro-batches through the incremental lot matcher."""
     root = scratch_path(spark, "fifo")
     store = Store(spark, f"{root}/tables", buckets=8)
-    feed = _in_files(star.fills(spark, folder), "report_date_local", ("1997-01-01", "1999-01-01", "2000-06-01"))
-    incremental.fifo_stream(feed, store, f"{root}/checkpoint")
+    fills = star.fills(spark, folder)
+    # some fills of the past come once more, with the last arrival
+    again = fills.where((F.col("report_date_local") < F.lit("1999-01-01").cast("date")) & (F.pmod(F.xxhash64("fill_id"), F.lit(10)) == 0))
+    fed = fills.withColumn("arrival", F.col("report_date_local")).unionByName(again.withColumn("arrival", F.lit("2100-01-01").cast("date")))
+    for feed in _arrivals(fed, "arrival", ("1997-01-01", "1999-01-01", "2000-06-01")):
+        incremental.fifo_stream(feed, store, f"{root}/checkpoint")
     realized = store.read("realized", incremental.REALIZED)
     lots = store.read("open_lot", incremental.FILL).groupBy("account_id", "instrument_id").agg(
         F.count(F.lit(1)).alias("open_lot_count"), F.sum("quantity").cast(text.MONEY).alias("open_quantity")
@@ -640,7 +666,7 @@ def stream_fifo(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        fifo_realized, fifo_position, fifo_open_lots, fifo_matches, position_lots, lot_ids, last_price, fifo_unrealized_at_mark,
+        fifo_realized, fifo_realized_split, fifo_uneven_fees, fifo_position, fifo_open_lots, fifo_matches, fifo_matches_split, position_lots, lot_ids, last_price, fifo_unrealized_at_mark,
         open_cost_basis, fees_by_instrument, cash_totals, valuation_latest, snapshot_daily, snapshot_counters,
         trade_merge, cashflow_merge, fx_merge, corp_action_merge, instrument_merge, raw_dedupe_counts, artifact_dedupe,
         map_trades, map_cashflows, map_fx, map_corp_actions, map_violations, row_tag_route, batch_counters, resolved_events,

@@ -344,6 +344,40 @@ def _with(sql: str, *views: str) -> str:
     return f"WITH {', '.join(parts)} {sql}" if parts else sql
 
 
+_UNEVEN = """
+  SELECT account_id, instrument_id, fill_id, trade_timestamp_utc, source_raw_record_id, report_date_local, side,
+    CASE kind WHEN 0 THEN 0 WHEN 2 THEN q * 10000000000 WHEN 1 THEN q ELSE q + 0.5 END::DECIMAL(18,2) AS q,
+    CASE kind WHEN 2 THEN 0.25 ELSE px END::DECIMAL(18,2) AS px, 0 AS unit_fee, cents
+  FROM (SELECT account_id, instrument_id, ib_exec_id AS fill_id, trade_timestamp_utc, source_raw_record_id, report_date_local,
+      CASE WHEN (l_orderkey * 7 + l_linenumber) % 11 = 0 THEN 'HOLD' ELSE side END AS side, (l_orderkey * 7 + l_linenumber) % 11 AS kind,
+      CAST(quantity AS DECIMAL(18,2)) AS q, CAST(price AS DECIMAL(18,2)) AS px, l_orderkey % 97 + 1 AS cents
+    FROM (SELECT *, split_part(ib_exec_id, '-', 1)::BIGINT AS l_orderkey, split_part(ib_exec_id, '-', 2)::BIGINT AS l_linenumber FROM firsts))"""
+
+# Shares of fees are divided in integers: cents x units x 1e8 gives 16 places, rounded half up.
+_UNEVEN_FEES = """
+  , used AS (SELECT account_id, open_fill_id AS fill_id, m FROM matches UNION ALL SELECT account_id, close_fill_id, m FROM matches),
+  shares AS (
+    SELECT f.account_id, f.instrument_id,
+      (2 * f.cents::HUGEINT * (u.m * 100)::HUGEINT * 100000000000000 + (f.q * 100)::HUGEINT) // (2 * (f.q * 100)::HUGEINT) AS share
+    FROM fills f JOIN (SELECT account_id, fill_id, sum(m) AS m FROM used GROUP BY ALL) u USING (account_id, fill_id)),
+  gains AS (
+    SELECT account_id, instrument_id, sum(CASE direction WHEN 'long' THEN 1 ELSE -1 END * ((close_price - open_price) * 100)::HUGEINT * (m * 100)::HUGEINT) AS gain
+    FROM matches GROUP BY ALL),
+  total AS (
+    SELECT n.account_id, n.instrument_id, n.fill_count, coalesce(g.gain, 0)::HUGEINT * 1000000000000 - coalesce(s.share, 0)::HUGEINT AS t
+    FROM (SELECT account_id, instrument_id, count(*) AS fill_count FROM fills GROUP BY ALL) n LEFT JOIN gains g USING (account_id, instrument_id)
+      LEFT JOIN (SELECT account_id, instrument_id, sum(share) AS share FROM shares GROUP BY ALL) s USING (account_id, instrument_id)),
+  rounded AS (SELECT *, (abs(t) + 50000000) // 100000000 AS r FROM total)
+  SELECT account_id, instrument_id, fill_count,
+    CAST(CASE WHEN t < 0 AND r > 0 THEN '-' ELSE '' END || CAST(r // 100000000 AS VARCHAR) || '.' || lpad(CAST(r % 100000000 AS VARCHAR), 8, '0') AS DECIMAL(24,8)) AS realized_pnl
+  FROM rounded"""
+
+
+def _uneven() -> str:
+    parts = [f"{name} AS ({_UNEVEN if name == 'fills' else _VIEWS[name][0]})" for name in _needed(("fills", "matches"), [])]
+    return f"WITH {', '.join(parts)} {_UNEVEN_FEES}"
+
+
 _UUID = """lower(concat_ws('-', substr({h}, 1, 8), substr({h}, 9, 4), '5' || substr({h}, 14, 3),
   translate(substr({h}, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr({h}, 18, 3), substr({h}, 21, 12)))"""
 _NAMED = "sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode({name}))"
@@ -360,6 +394,7 @@ _SNAPSHOT_ID = "'snapshot:' || account_id || ':' || CAST(report_date_local AS VA
 
 def oracle_queries() -> dict[str, str]:
     sqls = {
+        "fifo_uneven_fees": _uneven(),
         "fifo_realized": _with(
             f"SELECT n.account_id, n.instrument_id, CAST(coalesce(r.realized, 0) AS {D}) AS realized_pnl, n.fill_count FROM (SELECT account_id, instrument_id, count(*) AS fill_count FROM fills GROUP BY ALL) n LEFT JOIN realized r USING (account_id, instrument_id)",
             "fills", "realized",
@@ -719,6 +754,8 @@ def oracle_queries() -> dict[str, str]:
             "snapshot", "instruments",
         ),
     }
+    for name in ("fifo_realized", "fifo_matches"):
+        sqls[f"{name}_split"] = sqls[name]
     xml = sqls["xml_rows"]
     views, body = xml.split(") SELECT payload_id, r.s", 1)
     sqls["stream_ingest"] = f"""{views}), rows AS (SELECT payload_id, r.s{body}) SELECT 'raw' AS kind, section_name AS name, count(*) AS row_count FROM rows GROUP BY ALL

@@ -22,17 +22,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows of a table in fewer files than there are cores, spread over them for costly
-    expressions. A large table has many files and stays where it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if not df.isStreaming and len(df.inputFiles()) < cores else df
-
-
 def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """The same table as a stream of its files."""
-    schema = table(spark, folder, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    """The same table as a stream of its files, whether it is one file or a folder of them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)  # fails where there is none
+    reader = spark.readStream.schema(table(spark, folder, name).schema)
+    if found.isDirectory():
+        return reader.parquet(f"{folder}/{name}.parquet")
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
 def _pick(index: Column, values: tuple[str, ...]) -> Column:
@@ -46,7 +43,7 @@ def cents(value: Column) -> Column:
 
 def trade_raw(spark: SparkSession, folder: str, item: DataFrame | None = None) -> DataFrame:
     """One execution per line item; the execution id repeats."""
-    item = spread(table(spark, folder, "lineitem")) if item is None else item
+    item = table(spark, folder, "lineitem") if item is None else item
     day = F.col("l_shipdate").cast("date")
     raw_id = F.md5(
         F.concat_ws(
@@ -113,6 +110,22 @@ def fills(spark: SparkSession, folder: str) -> DataFrame:
     ).drop("commission")
 
 
+def uneven_fills(spark: SparkSession, folder: str) -> DataFrame:
+    """Fills whose fees don't divide by their quantities: some of quantity zero with a side that
+    is none, some negative, some above 1e10 units at a small price."""
+    rows = first_executions(trade_raw(spark, folder).select("account_id", "ib_exec_id", "instrument_id", "trade_timestamp_utc", "source_raw_record_id", "side", "quantity", "price"))
+    order = F.split("ib_exec_id", "-")[0].cast("bigint")
+    kind = (order * 7 + F.split("ib_exec_id", "-")[1].cast("bigint")) % 11
+    large = (F.col("quantity") * 10_000_000_000).cast(MONEY)
+    return rows.select(
+        "account_id", "instrument_id", "trade_timestamp_utc", "source_raw_record_id", F.col("ib_exec_id").alias("fill_id"),
+        F.when(kind == 0, "HOLD").otherwise(F.col("side")).alias("side"),
+        F.when(kind == 0, 0).when(kind == 1, -F.col("quantity")).when(kind == 2, large).otherwise(F.col("quantity") + F.lit(0.5).cast("decimal(2,1)")).cast(MONEY).alias("quantity"),
+        F.when(kind == 2, 0.25).otherwise(F.col("price")).cast(MONEY).alias("price"),
+        ((order % 97 + 1) / 100).cast("decimal(18,2)").cast(MONEY).alias("fees"),
+    )
+
+
 def instruments(spark: SparkSession, folder: str) -> DataFrame:
     """Part of the world, one row per part; accounts share it."""
     part = table(spark, folder, "part")
@@ -364,7 +377,6 @@ def raw_records(spark: SparkSession, folder: str) -> DataFrame:
 
 def statement_payloads(order: DataFrame) -> DataFrame:
     """One XML statement per order, written from the order's own columns; some are broken."""
-    order = spread(order)
     key = F.col("o_orderkey")
     k, cust = key.cast("string"), F.col("o_custkey").cast("string")
     day = F.date_format("o_orderdate", "yyyyMMdd")

@@ -107,3 +107,20 @@ def test_random_fills_match_the_loop(spark, hot_rows):
 def test_fees_that_do_not_divide(spark):
     rows = [("i", 1, "f1", "BUY", 3, 100, 1), ("i", 2, "f2", "SELL", 1, 100, 0), ("i", 3, "f3", "SELL", 2, 100, 0)]
     assert fifo.realized_by_instrument(frame(spark, rows)).first().realized_pnl == D(-1)
+
+
+@pytest.mark.parametrize(
+    "rows, realized",
+    [
+        ([("i", 1, "f1", "BUY", 3_000_000, 1, 1), ("i", 2, "f2", "SELL", 2_000_000, 1, 0)], "-0.66666667"),
+        ([("i", 1, "f1", "BUY", "0.00000003", 1, "0.5"), ("i", 2, "f2", "SELL", "0.00000001", 1, 0)], "-0.16666667"),
+        ([("i", 1, "f1", "BUY", 20_000_000_000, "0.5", 3), ("i", 2, "f2", "SELL", 10_000_000_000, "0.75", 0)], "2499999998.5"),
+        ([("i", 1, "f1", "BUY", 2, "20000000000.25", 0), ("i", 2, "f2", "SELL", 2, "20000000000.5", 0)], "0.5"),
+        ([("i", 1, "f1", "BUY", "12345678901.00000001", "1.00000001", 0), ("i", 2, "f2", "SELL", "12345678901.00000001", "1.00000002", 0)], "123.45678901"),
+    ],
+)
+def test_uneven_fees_and_large_amounts(spark, rows, realized):
+    fills = frame(spark, rows)
+    assert fifo.realized_by_instrument(fills).first().realized_pnl == D(realized)
+    lots = fifo.position_lots(fills).first()
+    assert fifo.lot_matches(fills).first().match_pnl == lots.realized_pnl_to_date == D(realized)
