@@ -14,7 +14,7 @@ HEADLINE = (
     "fifo_position", "fifo_realized", "fifo_open_lots", "fifo_matches", "last_price", "cash_totals", "valuation_latest", "snapshot_daily",
     "trade_merge", "cashflow_merge", "fx_merge", "instrument_merge", "raw_dedupe_counts", "artifact_dedupe", "map_trades",
     "xml_rows", "parse_dates", "parse_timestamps", "eod_mark", "fx_fallback", "pnl_by_label",
-    "provenance", "drilldown", "dq_rules", "run_state", "slo_success_rate", "slo_p95",
+    "provenance", "recon_diff", "drilldown", "dq_rules", "run_state", "slo_success_rate", "slo_p95",
 )
 
 

@@ -5,22 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Action codes handled without a person, and those handled so when the
-# row states an unambiguous ratio or amount. Everything else is manual.
-AUTO_CODES = ("CP", "FA", "IC")
-AUTO_IF_UNAMBIGUOUS_CODES = ("FS", "FI", "RS", "SD", "CD")
-MANUAL_CODES = (
-    "SO", "CO", "TC", "OR", "TI", "RI", "SR", "DI", "TO", "BC", "CI", "CH", "HD", "HI", "GV", "CS", "CC", "CA", "DW",
-)
+# Action codes handled without a person when the row states an unambiguous
+# ratio or amount. Everything else is manual.
+AUTO_IF_UNAMBIGUOUS_CODES = ("FS", "RS", "SD", "CD")
 
-AUTO, AUTO_IF_UNAMBIGUOUS, MANUAL = "auto", "auto_if_unambiguous", "manual"
+AUTO_IF_UNAMBIGUOUS, MANUAL = "auto_if_unambiguous", "manual"
 
 
 def action_class(code: Column) -> Column:
-    name = F.upper(F.trim(code))
-    return (
-        F.when(name.isin(*AUTO_CODES), AUTO).when(name.isin(*AUTO_IF_UNAMBIGUOUS_CODES), AUTO_IF_UNAMBIGUOUS).otherwise(MANUAL)
-    )
+    return F.when(F.upper(F.trim(code)).isin(*AUTO_IF_UNAMBIGUOUS_CODES), AUTO_IF_UNAMBIGUOUS).otherwise(MANUAL)
 
 
 def classify(actions: DataFrame, unambiguous: Column | None = None) -> DataFrame:

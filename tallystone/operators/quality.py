@@ -50,7 +50,7 @@ def not_negative(column: str) -> Rule:
 
 
 def within_unit_range(column: str) -> Rule:
-    """Quantities and prices the lot matcher can hold exactly."""
+    """Quantities and prices of a usual size; larger ones are matched all the same."""
     return Rule(f"{column}_in_range", F.abs(column) <= UNIT_LIMIT)
 
 

@@ -236,7 +236,7 @@ _VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
     "classified": (
         """
         SELECT *, class = 'manual' OR (class = 'auto_if_unambiguous' AND description IS NULL) AS manual FROM (
-          SELECT *, CASE WHEN reorg_code IN ('CP', 'FA', 'IC') THEN 'auto' WHEN reorg_code IN ('FS', 'FI', 'RS', 'SD', 'CD')
+          SELECT *, CASE WHEN reorg_code IN ('FS', 'RS', 'SD', 'CD')
             THEN 'auto_if_unambiguous' ELSE 'manual' END AS class FROM actions_raw)""",
         ("actions_raw",),
     ),
@@ -736,7 +736,13 @@ def oracle_queries() -> dict[str, str]:
             f"SELECT label_name, symbol, account_id, count(*) AS event_count, CAST(sum(quantity) AS {D}) AS quantity FROM firsts f JOIN instruments i USING (instrument_id) JOIN labels USING (instrument_id) GROUP BY ALL",
             "firsts", "instruments", "labels",
         ),
-        "label_rollup": _with("SELECT report_date_local, 'x' AS label_id, total_pnl, total_pnl AS instrument_total FROM snapshot WHERE false", "snapshot"),
+        "label_rollup": _with(
+            f"""SELECT report_date_local, label_id, g.total AS total_pnl, d.total AS instrument_total
+            FROM (SELECT report_date_local, label_id, CAST(sum(total_pnl) AS {D}) AS total FROM snapshot JOIN labels USING (instrument_id) WHERE CAST(instrument_id AS INTEGER) % 7 <> 0 GROUP BY ALL) g
+            FULL JOIN (SELECT report_date_local, label_id, CAST(sum(total_pnl) AS {D}) AS total FROM snapshot JOIN labels USING (instrument_id) GROUP BY ALL) d USING (report_date_local, label_id)
+            WHERE g.total IS DISTINCT FROM d.total""",
+            "snapshot", "labels",
+        ),
         "stream_corrections": _with("SELECT * FROM cash_merged", "cash_merged"),
         "stream_dedupe": "SELECT DISTINCT user_id, event_type, event_id % 7 AS bucket FROM events",
         "stream_stage_window": """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS window_start, event_type AS stage,

@@ -6,9 +6,10 @@ from decimal import Decimal as D
 import pytest
 from pyspark.sql import functions as F
 
-from tallystone.operators import export, fallback, listing, quality, reports, runs, scan, snapshot
+from tallystone.operators import corporate, export, fallback, listing, mapping, quality, reports, runs, scan, snapshot
 from tallystone.operators.lookup import lookup_join
 from tallystone.session import scratch_path
+from tallystone.sources import tables
 
 FILL = (
     "account_id string, instrument_id string, trade_timestamp_utc timestamp_ntz, source_raw_record_id string, fill_id string, side string, "
@@ -138,3 +139,29 @@ def test_quality_rules(spark):
     keys = spark.createDataFrame([(1,), (1,), (None,), (None,)], "k int")
     assert quality.unique_rule(keys, "t", ["k"]).first().violation_count == 1
     assert quality.reference_rule(keys, "t", "k", spark.range(1), "id").first().violation_count == 2
+
+
+def test_runs_by_state_and_id(spark):
+    at = "timestamp_ntz'2026-01-01 10:00:00'"
+    started = spark.sql(f"SELECT 'r2' run_id, 'U1' account_id, {at} at_utc")
+    events = spark.sql(f"SELECT 'r1' run_id, 'U1' account_id, {at} at_utc, 'started' status UNION ALL SELECT 'r1', 'U1', {at} + INTERVAL 2 SECONDS, 'success'")
+    states = runs.current_runs(runs.open_runs(events, started))
+    assert {(r.run_id, r.status, r.duration_ms) for r in states.collect()} == {("r1", "success", 2000), ("r2", "started", None)}
+    assert tables.active_run(states, "U1").first().run_id == "r2" and tables.active_run(states, "U2").isEmpty()
+    assert tables.run_by_id(states, "r1").first().status == "success"
+
+
+def test_date_and_reference_rules(spark):
+    rows = spark.createDataFrame([("2026-01-31",), ("2026-02-30",), ("31.1.2026",), (None,)], "day string")
+    assert quality.row_rules(rows, "t", [quality.is_iso_date("day")]).first().violation_count == 3
+    trades = spark.createDataFrame([("U1", "1"), ("U1", "2"), ("U1", None)], "account_id string, conid string")
+    known = spark.createDataFrame([("U1", "1")], "account_id string, conid string")
+    linked = mapping.with_instrument(trades, known)
+    assert {r.conid for r in mapping.unresolved_trades(linked).collect()} == {"2", None} and linked.count() == 3
+
+
+def test_only_listed_corporate_actions_go_without_a_person(spark):
+    rows = spark.createDataFrame([(c, False, False) for c in ("FS", "rs ", "SD", "CD", "FI", "CP", "IC", "SO", None)], "reorg_code string, requires_manual boolean, provisional boolean")
+    clear = corporate.classify(rows, F.lit(True))
+    assert {r.reorg_code for r in clear.where(~F.col("requires_manual")).collect()} == {"FS", "rs ", "SD", "CD"}
+    assert corporate.classify(rows).where(~F.col("requires_manual")).isEmpty()
