@@ -59,6 +59,11 @@ def _signed(side: Column, quantity: Column) -> Column:
     return F.when(side == "BUY", quantity).when(side == "SELL", -quantity).otherwise(unknown.cast(UNIT))
 
 
+def _currency(df: DataFrame) -> list[str]:
+    """The functional currency, where the fills have one."""
+    return [name for name in ("functional_currency",) if name in df.columns]
+
+
 def prepared_fills(fills: DataFrame) -> DataFrame:
     """Fills with positive quantity, one signed quantity and one fee.
 
@@ -77,6 +82,7 @@ def prepared_fills(fills: DataFrame) -> DataFrame:
         F.abs("quantity").cast(UNIT).alias("quantity"),
         F.col("price").cast(UNIT).alias("price"),
         (F.coalesce(F.col("fees"), _zero(MONEY)) + tax).cast(UNIT).alias("fee"),
+        *_currency(fills),
     )
     traded = F.col("quantity") != 0
     return base.withColumn("signed", F.when(traded, _signed(F.col("side"), F.col("quantity"))).otherwise(_zero(UNIT)))
@@ -164,6 +170,7 @@ def fill_usage(fills: DataFrame, cuts: DataFrame | None = None) -> DataFrame:
         own_opened.alias("open_end"),
         (other_opened - other_held).cast(QUANTITY_SUM).alias("close_end"),
         remaining.alias("remaining_quantity"),
+        *_currency(df),
         *([PIECE] if cuts is not None else []),
     )
 
@@ -207,10 +214,12 @@ def instrument_summary(fills: DataFrame, cuts: DataFrame | None = None) -> DataF
     """Everything a snapshot needs per instrument, in one pass of running sums and one aggregate."""
     left = F.col("remaining_quantity")
     longs = F.col("open_direction") == "long"
+    at = F.struct(*ORDER, "fill_id")
     return (
         fill_usage(fills, cuts)
         .groupBy(*KEYS)
         .agg(
+            *(F.max_by(name, at).alias(name) for name in _currency(fills)),
             F.sum("signed").cast(MONEY).alias("position_qty"),
             F.sum(realized_contribution()).cast(AMOUNT).alias("fifo_realized"),
             F.count_if(left > 0).alias("open_lot_count"),

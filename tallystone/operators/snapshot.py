@@ -63,10 +63,9 @@ def build_snapshot(
     day = F.lit(report_date).cast("date")
     fills = fills.where(F.col("report_date_local") <= day)
     held = fifo.instrument_summary(fills, cuts)
-    currency = fifo.latest_prices(fills).select(*KEYS, "functional_currency")
     cash = cash_totals(cashflows.where(F.col("report_date_local") <= day))
     broker = valuations.select(*KEYS, F.col("position_qty").alias("broker_qty"), "broker_unrealized_pnl")
-    joined = held.join(currency, KEYS).join(cash, KEYS, "left").join(broker, KEYS, "left")
+    joined = held.join(cash, KEYS, "left").join(broker, KEYS, "left")
     source = valuation_source(F.col("position_qty"), F.col("broker_qty"))
     realized = F.col("fifo_realized") - _or_zero("cash_fees", AMOUNT) - _or_zero("withholding_tax", AMOUNT)
     rows = joined.select(
