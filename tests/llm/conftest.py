@@ -1,22 +1,7 @@
 from __future__ import annotations
 
-import os
-import sys
-
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
-
-
-@pytest.fixture(scope="session")
-def spark():
-    from tallystone.session import local_session
-
-    session = local_session("4", "tests")
-    session.sparkContext.setLogLevel("ERROR")
-    yield session
-
-
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 

@@ -4,7 +4,7 @@ import hashlib
 import re
 
 import pytest
-from texts import corpus, sentence
+from llm.texts import corpus, sentence
 
 from tallystone.llm import decontamination as q
 

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 
-from texts import corpus
+from llm.texts import corpus
 
 from tallystone.llm import line_dedup as q
 

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from texts import corpus
+from llm.texts import corpus
 
 from tallystone.llm import packing, sharding
 

@@ -5,7 +5,7 @@ import re
 from collections import Counter
 
 from pyspark.sql import functions as F
-from texts import corpus, prose
+from llm.texts import corpus, prose
 
 from tallystone.llm import quality_rules as q
 

@@ -4,7 +4,7 @@ import hashlib
 import random
 import re
 
-from texts import corpus
+from llm.texts import corpus
 
 from tallystone.llm import secret_scan, url_filter
 

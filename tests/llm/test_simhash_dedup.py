@@ -4,7 +4,7 @@ import random
 import re
 
 import xxhash
-from texts import corpus, prose
+from llm.texts import corpus, prose
 
 from tallystone.llm import simhash_dedup as q
 from tallystone.llm.components import components

@@ -6,7 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from texts import corpus
+from llm.texts import corpus
 
 from tallystone.llm import suffix_dedup, window_dedup
 from tallystone.llm.common import merged
