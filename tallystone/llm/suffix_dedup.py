@@ -40,7 +40,8 @@ from tallystone.session import stored
 
 WINDOW = 400
 BASE = 64
-HOT = 4096
+HOT = 1 << 16  # suffixes with equal BASE bytes that one task merges; about 1 kB each
+HOT_ROWS = 50_000  # windows of hot anchors handed on at a time
 TILE = 1 << 19  # windows whose anchors are chosen at a time
 RUN_BYTES = 24 << 20  # suffix bytes sorted into one run
 PART = 20_000  # suffixes meant for one merge
@@ -205,7 +206,7 @@ def repeated_windows(suffixes: list[Suffix], lcp: np.ndarray, window: int, base:
     left = np.array([0, *(shared(a, b, 0) for a, b in zip(behind, behind[1:]))])
     rank = np.empty(n, np.int64)
     rank[order] = np.arange(n)
-    rows, offsets = [], []
+    found = np.zeros((n, int(high.max()) + 2), bool)  # by suffix and offset, with an empty column at the end
     for o in range(int(low.min()), int(high.max()) + 1):
         here = np.flatnonzero((low <= o) & (o <= high) & (alike >= window - o))
         if len(here) < 2:
@@ -215,19 +216,14 @@ def repeated_windows(suffixes: list[Suffix], lcp: np.ndarray, window: int, base:
         pair = ahead_class * np.int64(n + 1) + behind_class
         by = np.argsort(pair, kind="stable")
         same = np.diff(pair[by]) == 0
-        again = np.append(same, False) | np.append(False, same)
-        rows.append(here[by[again]])
-        offsets.append(np.full(int(again.sum()), o))
-    if not rows:
-        return pd.DataFrame(columns=["doc_id", "t", "start", "stop"]).astype("int64")
-    row, offset = np.concatenate(rows), np.concatenate(offsets)
-    place = np.array([s[4] for s in suffixes])[row] - offset
-    by = np.lexsort((place, row))
-    row, place = row[by], place[by]
-    starts = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(place, prepend=-2) != 1))
-    ends = np.append(starts[1:], len(row)) - 1
-    whose = [suffixes[k] for k in row[starts]]
-    return pd.DataFrame({"doc_id": [s[2] for s in whose], "t": [s[3] for s in whose], "start": place[starts], "stop": place[ends] + window})
+        found[here[by[np.append(same, False) | np.append(False, same)]], o] = True
+    # neighbouring offsets are one span: from the farthest offset's place to the end of the nearest one's window
+    edges = np.diff(found.view(np.int8), axis=1, prepend=np.int8(0))
+    row, nearest = np.nonzero(edges == 1)
+    farthest = np.nonzero(edges == -1)[1] - 1
+    anchor = np.array([s[4] for s in suffixes])[row]
+    whose = [suffixes[k] for k in row]
+    return pd.DataFrame({"doc_id": [s[2] for s in whose], "t": [s[3] for s in whose], "start": anchor - farthest, "stop": anchor - nearest + window}).astype("int64")
 
 
 PIECES = "part int, numbers binary, ids binary, rest binary, behind binary"
@@ -285,12 +281,24 @@ def _merged(batches: Iterator[pd.DataFrame], window: int, base: int) -> Iterator
         yield from of_part(pieces)
 
 
+def _columns(found: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame({name: np.concatenate(parts) for name, parts in zip(("doc_id", "t", "start", "h"), zip(*found))})
+
+
 def _hot_windows(batches: Iterator[pd.DataFrame], window: int, base: int) -> Iterator[pd.DataFrame]:
     for batch in batches:
+        found: list[tuple] = []
+        size = 0
         for doc, t, text, _, first, last in _candidates(batch, window, base):
             letters = np.frombuffer(text, np.uint8)[first : last + window].astype(np.uint64) * _A + _B
-            hashes = longer(letters ^ (letters >> np.uint64(29)), 1, window)
-            yield pd.DataFrame({"doc_id": doc, "t": t, "start": np.arange(first, last + 1), "h": hashes.view(np.int64)})
+            hashes = longer(letters ^ (letters >> np.uint64(29)), 1, window).view(np.int64)
+            found.append((np.full(len(hashes), doc), np.full(len(hashes), t), np.arange(first, last + 1), hashes))
+            size += len(hashes)
+            if size >= HOT_ROWS:
+                yield _columns(found)
+                found, size = [], 0
+        if found:
+            yield _columns(found)
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, base: int = BASE) -> DataFrame:
@@ -313,7 +321,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, base: int = BASE) -> D
     runs = asked(cold).mapInPandas(lambda b: _runs(b, splitters, window, base), PIECES)
     spans = runs.repartition(len(splitters) + 1, "part").sortWithinPartitions("part").mapInPandas(lambda b: _merged(b, window, base), SPANS)
     if sizes["hot"]:
-        single = asked(hot).mapInPandas(lambda b: _hot_windows(b, window, base), "doc_id long, t long, start long, h long")
+        single = stored(asked(hot).mapInPandas(lambda b: _hot_windows(b, window, base), "doc_id long, t long, start long, h long"), "hot-windows")
         counted = single.groupBy("h").agg(F.count("start").alias("m")).where("m > 1")
         spans = spans.unionByName(single.join(counted, "h").select("doc_id", "t", "start", (F.col("start") + window).alias("stop")))
     return spans
