@@ -10,8 +10,8 @@ places, so a wanted window with a unique anchor is unique; about one place in fo
 Anchors are counted over the corpus. The wanted windows around repeated anchors are then sent,
 as hashes, to the task that has all occurrences of their anchor; there the windows of twice the
 length beside the anchor are compared, and the wanted windows of those that survive. Anchors with
-more than HOT occurrences go another way: their windows are counted one by one with map-side
-combining and joined back, so nothing gathers in one task.
+more than HOT occurrences go another way: each task settles the windows it finds twice itself, and
+the others are counted one by one and joined back, so nothing gathers in one task.
 
 Windows are compared by 64-bit hashes within occurrences of one 64-bit anchor hash. Cases: null,
 blank and short texts have no windows and lose nothing; every row is a document, so rows that
@@ -35,7 +35,7 @@ from tallystone.llm.common import grown, merged, shrunk, small_batches
 from tallystone.session import stored
 
 WINDOW = 35
-HOT = 4096
+HOT = 1 << 16  # occurrences of an anchor that one task compares; about 300 bytes each
 TILE = 1 << 17  # windows whose anchors are chosen at a time
 GATHERED = 20_000  # rows of whole anchor groups that are compared at a time
 
@@ -189,13 +189,66 @@ def _groups(batches: Iterator[pd.DataFrame], window: int) -> Iterator[pd.DataFra
         yield _compared(pd.concat(held), window)
 
 
+LONE = "doc_id long, t long, start long, stop long, h long, kind int"
+SPAN, WINDOW_ALONE, KNOWN = 0, 1, 2
+LOT = 200_000  # windows of hot anchors that are looked through at a time
+
+
+def settled(doc_id: np.ndarray, t: np.ndarray, start: np.ndarray, h: np.ndarray, window: int) -> pd.DataFrame:
+    """Rows of LONE for some windows. Those found twice among them are settled here: their places
+    come out as spans (SPAN), and each of their hashes once, for windows elsewhere (KNOWN). The
+    rest (WINDOW_ALONE) are to be counted over the corpus. ``doc_id`` may be a masked array."""
+    again = _twice(h)
+    d, at = pd.array(doc_id, "Int64")[again], start[again]
+    whose = d.to_numpy(np.int64, na_value=np.iinfo(np.int64).min)
+    apart = lambda x: np.append(True, x[1:] != x[:-1])[: len(x)]
+    new = np.flatnonzero((np.diff(at, prepend=-2) != 1) | apart(t[again]) | apart(whose))
+    last = np.append(new[1:], len(at)) - 1 if len(at) else new
+    spans = pd.DataFrame({"doc_id": d[new], "t": t[again][new], "start": at[new], "stop": at[last] + window, "kind": SPAN})
+    known = pd.DataFrame({"h": np.unique(h[again]), "kind": KNOWN})
+    alone = pd.DataFrame({"doc_id": doc_id[~again], "t": t[~again], "start": start[~again], "stop": start[~again] + window, "h": h[~again], "kind": WINDOW_ALONE})
+    names = [c.split()[0] for c in LONE.split(", ")]
+    # nullable before they are put together: a missing column would make floats of the hashes
+    return pd.concat([x.reindex(columns=names).astype("Int64") for x in (spans, known, alone)])
+
+
+def _hot(batches: Iterator[pd.DataFrame], window: int) -> Iterator[pd.DataFrame]:
+    held: list[pd.DataFrame] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch["hashes"].str.len().sum() // 8
+        if size >= LOT:
+            yield _settled_rows(pd.concat(held), window)
+            held, size = [], 0
+    if size:
+        yield _settled_rows(pd.concat(held), window)
+
+
+def _settled_rows(rows: pd.DataFrame, window: int) -> pd.DataFrame:
+    hashes = [np.frombuffer(h, "<i8") for h in rows["hashes"]]
+    size = np.array([len(h) for h in hashes])
+    start = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(rows["at"].to_numpy(np.int64), size)
+    doc_id = rows["doc_id"].astype("Int64").array[np.repeat(np.arange(len(rows)), size)]
+    return settled(doc_id, np.repeat(rows["t"].to_numpy(np.int64), size), start, np.concatenate(hashes), window)
+
+
+def counted(lone: DataFrame) -> DataFrame:
+    """(doc_id, t, start, stop) of the windows in rows of LONE that stand in more than one place."""
+    asked = lone.where(F.col("kind") != SPAN).groupBy("h").agg(F.sum("kind").alias("n")).where("n > 1").select("h")
+    alone = lone.where(F.col("kind") == WINDOW_ALONE).join(asked, "h")
+    names = ["doc_id", "t", "start", "stop"]
+    return lone.where(F.col("kind") == SPAN).select(*names).unionByName(alone.select(*names))
+
+
 SPANS = "doc_id long, t long, start int, stop int"
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, t, start, stop): spans of words under windows that stand elsewhere too. ``docs`` has
     doc_id, t (hash of the text) and text."""
-    places = docs.select("doc_id", "t", F.posexplode(_anchor_column(window)(F.col("text"))).alias("j", "h"))
+    # counted and joined: read from a table, the texts are hashed once
+    places = stored(docs.select("doc_id", "t", F.posexplode(_anchor_column(window)(F.col("text"))).alias("j", "h")), "anchors")
     repeated = places.groupBy("h").agg(F.count("j").alias("n")).where("n > 1")
     candidates = places.join(repeated, "h").groupBy("doc_id", "t").agg(F.collect_set(F.struct("j", "n")).alias("candidates")).alias("c")
     packed = docs.select("doc_id", "t", shrunk(F.col("text")).alias("packed")).alias("d")
@@ -204,15 +257,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     rows = stored(asked.mapInPandas(lambda b: _windows(b, window), ROWS), "windows")
     cold = rows.where(F.col("n") <= HOT).repartition("c").sortWithinPartitions("c").mapInPandas(lambda b: _groups(b, window), SPANS)
 
-    @F.pandas_udf("array<bigint>")
-    def split(hashes: pd.Series) -> pd.Series:
-        return hashes.map(lambda h: np.frombuffer(h, "<i8"))
-
-    single = rows.where(F.col("n") > HOT).select("c", "doc_id", "t", "at", F.posexplode(split("hashes")).alias("k", "h"))
-    counted = single.groupBy("c", "h").agg(F.count("k").alias("m")).where("m > 1")
-    start = F.col("at") + F.col("k")
-    hot = single.join(counted, ["c", "h"]).select("doc_id", "t", start.alias("start"), (start + window).alias("stop"))
-    return cold.unionByName(hot)
+    hot = stored(rows.where(F.col("n") > HOT).mapInPandas(lambda b: _hot(b, window), LONE), "hot-windows")
+    return cold.unionByName(counted(hot).withColumns({"start": F.col("start").cast("int"), "stop": F.col("stop").cast("int")}))
 
 
 def _kept(text: str | None, spans: list | None) -> tuple[int, int, str]:
