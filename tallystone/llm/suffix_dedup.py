@@ -15,8 +15,8 @@ anchors sorted likewise, a window at offset o is a pair: the class of neighbours
 from the anchor on, and the class that shares its o bytes before. Equal pairs are equal windows,
 byte for byte.
 
-Anchors with more than HOT occurrences would meet in one task: their windows are counted one by one
-by hash with map-side combining and joined back. Cases: null and short texts lose nothing; rows
+Anchors with more than HOT occurrences would meet in one task: of their windows, those that a task
+finds twice are settled there, and the others are counted one by one by hash and joined back. Cases: null and short texts lose nothing; rows
 that repeat id and text are documents of their own and lose what they share; spans that touch or
 overlap count as one. Other columns are not read.
 """
@@ -35,13 +35,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallystone.llm.common import grown, merged, shrunk, small_batches
-from tallystone.llm.window_dedup import longer
+from tallystone.llm.window_dedup import LONE, LOT, counted, longer, settled
 from tallystone.session import stored
 
 WINDOW = 400
 BASE = 64
 HOT = 1 << 16  # suffixes with equal BASE bytes that one task merges; about 1 kB each
-HOT_ROWS = 50_000  # windows of hot anchors handed on at a time
 TILE = 1 << 19  # windows whose anchors are chosen at a time
 RUN_BYTES = 24 << 20  # suffix bytes sorted into one run
 PART = 20_000  # suffixes meant for one merge
@@ -281,24 +280,21 @@ def _merged(batches: Iterator[pd.DataFrame], window: int, base: int) -> Iterator
         yield from of_part(pieces)
 
 
-def _columns(found: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame({name: np.concatenate(parts) for name, parts in zip(("doc_id", "t", "start", "h"), zip(*found))})
-
-
 def _hot_windows(batches: Iterator[pd.DataFrame], window: int, base: int) -> Iterator[pd.DataFrame]:
+    """All windows around hot anchors; those that a lot holds twice are settled at once."""
+    found: list[tuple] = []
+    size = 0
     for batch in batches:
-        found: list[tuple] = []
-        size = 0
         for doc, t, text, _, first, last in _candidates(batch, window, base):
             letters = np.frombuffer(text, np.uint8)[first : last + window].astype(np.uint64) * _A + _B
             hashes = longer(letters ^ (letters >> np.uint64(29)), 1, window).view(np.int64)
             found.append((np.full(len(hashes), doc), np.full(len(hashes), t), np.arange(first, last + 1), hashes))
             size += len(hashes)
-            if size >= HOT_ROWS:
-                yield _columns(found)
+            if size >= LOT:
+                yield settled(*map(np.concatenate, zip(*found)), window)
                 found, size = [], 0
-        if found:
-            yield _columns(found)
+    if found:
+        yield settled(*map(np.concatenate, zip(*found)), window)
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, base: int = BASE) -> DataFrame:
@@ -321,9 +317,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, base: int = BASE) -> D
     runs = asked(cold).mapInPandas(lambda b: _runs(b, splitters, window, base), PIECES)
     spans = runs.repartition(len(splitters) + 1, "part").sortWithinPartitions("part").mapInPandas(lambda b: _merged(b, window, base), SPANS)
     if sizes["hot"]:
-        single = stored(asked(hot).mapInPandas(lambda b: _hot_windows(b, window, base), "doc_id long, t long, start long, h long"), "hot-windows")
-        counted = single.groupBy("h").agg(F.count("start").alias("m")).where("m > 1")
-        spans = spans.unionByName(single.join(counted, "h").select("doc_id", "t", "start", (F.col("start") + window).alias("stop")))
+        lone = stored(asked(hot).mapInPandas(lambda b: _hot_windows(b, window, base), LONE), "hot-windows")
+        spans = spans.unionByName(counted(lone))
     return spans
 
 
