@@ -1,10 +1,12 @@
 """Line dedup over content-defined chunks of lines.
 
-A rolling hash over the hashes of neighbouring lines sets the borders: a line starts a chunk where
-the rolling hash is smaller than at the lines beside it. Borders depend on nothing but the lines
-around them, so a passage that several documents share is cut alike wherever it stands, and
-chunks have two lines or more. Chunks of equal bytes that stand in more than one place of the
-corpus are repeated: the first (smallest doc_id, then first in the text) stays, later ones go.
+The hashes of lines set the borders: a line starts a chunk where its hash is smaller than those of
+the lines beside it. A border depends on three lines, so a passage that several documents share is
+cut alike wherever it stands, and chunks have two lines or more. A run of equal lines has no
+minimum: it is cut where it starts, after every second line and where it ends. Chunks of equal
+bytes that stand in more than one place of the corpus are repeated: the first (smallest doc_id,
+then first in the text) stays, later ones go. Lines of a repeated passage outside its whole chunks
+stay; the README says how many.
 
 One aggregate over (hash, compressed bytes) compares the bytes; copies combine map-side, so a chunk that a
 third of the documents share is one row per task. Every place is then joined to the chunk's first
@@ -29,14 +31,29 @@ from pyspark.sql import functions as F
 
 from tallystone.llm.common import column, free_name, grown, shrunk, small_batches
 
-LINES = 2  # lines under the rolling hash
-
 Chunk = tuple[int, int, int]  # first byte, byte after the last, lines
 
 
-def chunks(text: bytes, lines: int = LINES) -> list[Chunk]:
-    """Chunks of a text. Line i starts a chunk where the hash of lines i .. i+lines-1 is a strict
-    minimum among its neighbours on both sides."""
+def _borders(hashes: np.ndarray) -> np.ndarray:
+    """Which lines start a chunk, the first line aside."""
+    n = len(hashes)
+    same = hashes[1:] == hashes[:-1]
+    end, start, low = np.zeros((3, n), bool)
+    end[2:] = same[:-1] & ~same[1:]  # the line after a run of equal lines
+    start[1:-1] = same[1:] & ~same[:-1]  # the first line of a run
+    start[1:] &= ~end[:-1]  # a single line between two runs goes with the second
+    low[1:-1] = (hashes[1:-1] < hashes[:-2]) & (hashes[1:-1] < hashes[2:])
+    low[1:] &= ~end[:-1]
+    low[:-1] &= ~start[1:]
+    at = np.arange(n)
+    deep = at - np.maximum.accumulate(np.where(np.append(False, same), 0, at))  # place within a run
+    pairs = (deep > 0) & (deep % 2 == 0) & np.append(same, False)
+    return end | start | low | pairs
+
+
+def chunks(text: bytes) -> list[Chunk]:
+    """Chunks of a text. A line starts a chunk where its hash is a strict minimum among its two
+    neighbours, where a run of equal lines starts or has ended, and at every second line of a run."""
     if not text:
         return []
     parts = text.split(b"\n")
@@ -46,14 +63,7 @@ def chunks(text: bytes, lines: int = LINES) -> list[Chunk]:
         parts.pop()
         ends = ends[:-1]
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, parts), np.uint64, len(parts))
-    with np.errstate(over="ignore"):
-        rolling = hashes.copy()
-        for back in range(1, lines):
-            rolling = rolling[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[back:]
-        rolling ^= rolling >> np.uint64(29)
-        rolling *= np.uint64(0xBF58476D1CE4E5B9)
-    inner = np.flatnonzero((rolling[1:-1] < rolling[:-2]) & (rolling[1:-1] < rolling[2:])) + 1
-    borders = [0, *inner.tolist(), len(parts)]
+    borders = [0, *np.flatnonzero(_borders(hashes)).tolist(), len(parts)]
     at = [0, *ends.tolist()]
     return [(at[a], at[b], b - a) for a, b in zip(borders, borders[1:])]
 

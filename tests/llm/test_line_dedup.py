@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 from collections import defaultdict
 
 from llm.texts import corpus
@@ -69,3 +70,33 @@ def test_replaced_texts_keep_columns(spark, documents):
     assert out.columns == docs.columns and out.count() == docs.count()
     assert out.where("n_chars != length(text)").count() == 0
     assert q.with_texts_replaced(docs.limit(0)).count() == 0
+
+
+def test_a_border_depends_on_three_lines():
+    rng = random.Random(5)
+    for _ in range(40):
+        a, b, c = (f"line {rng.random()}" for _ in range(3))
+        found = set()
+        for _ in range(12):
+            text = "\n".join([*(f"{rng.random()}" for _ in range(3)), a, b, c, *(f"{rng.random()}" for _ in range(3))])
+            found.add(text.index(b) in {start for start, _, _ in q.chunks(text.encode())})
+        assert len(found) == 1
+
+
+def test_runs_of_equal_lines_are_cut():
+    def cut(*lines):
+        return [n for _, _, n in q.chunks("\n".join(lines).encode())]
+
+    assert cut(*["x"] * 9) == [2, 2, 2, 3]
+    assert cut("a", "b", *["x"] * 4, "c", "c", "d") == [2, 2, 2, 2, 1]
+    assert cut("x", "x", "b", "c", "c") == [2, 3]
+    rng = random.Random(6)
+    for _ in range(300):
+        sizes = cut(*rng.choices("abc", k=rng.randint(1, 14)))
+        assert all(n > 1 for n in sizes[1:-1])
+
+
+def test_runs_of_other_lengths_are_repeated(spark, documents):
+    texts = ["\n".join([f"head {i}", f"next {i}", *["same line"] * n, f"then {i}", f"last {i}"]) for i, n in enumerate((8, 6, 11))]
+    left = [r.text.split("\n").count("same line") for r in q.judged(documents(texts)).orderBy("doc_id").collect()]
+    assert left == [2, 0, 3]
