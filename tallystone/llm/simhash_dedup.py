@@ -12,11 +12,14 @@ first two segments and under each value that one allowed bit makes of them.
 ``without_near_copies``: for documents that are alike by Jaccard similarity (five-word shingles,
 0.8). Here copies differ in about a seventh of the bits, which no short segment of a plain
 fingerprint survives. The ring is therefore one of shingle classes: shingles are dealt into as
-many classes as differences are to be expected, so that some classes stay untouched (budget 0);
-pairs with an equal class are checked on 512-bit fingerprints, chain first, then in full. Sixteen
-classes are asked for at most; recall is measured in the tests and stated in the README.
-
-Equal fingerprints are one class from the start and copies are never paired. Cases: a null or
+many classes as differences are to be expected, so that some classes stay untouched (budget 0).
+Pairs with an equal class whose 512-bit fingerprints are within a radius with room above the mean are
+candidates; the documents that candidates connect are compared among each other, and only pairs
+whose sets of shingles have the similarity, checked exactly, are links. Sixteen classes are asked
+for at most, so a pair can be missed that has no class in common and no chain of candidates.
+
+Equal fingerprints (of wide ones: equal sets of shingles) are one class from the start and copies
+are never paired. Cases: a null or
 blank text has the fingerprint zero, linked like any other; null ids count as larger than all
 others; repeated rows are all in one group; an empty table gives an empty result.
 """
@@ -46,7 +49,9 @@ SIMILARITY = 0.8
 WORDS = 8  # 64-bit words of a wide fingerprint
 CLASS_SIZE = 3  # shingles expected in a class
 ASKED = 16  # classes of a document that are asked for
-HOT = 4096  # fingerprints under one key that one task compares with each other's leaders
+DEVIATIONS = 7  # room of the radius: four, and ties of texts with few shingles
+HOT = 4096  # fingerprints under one key in a block; a task compares two blocks at most
+BLOCK = 256  # the same for sets of shingles
 SLICE = 1 << 15  # shingles hashed at a time
 
 _ODD = [0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3]
@@ -151,12 +156,17 @@ def _mix(values: np.ndarray, odd: int) -> np.ndarray:
         return x * np.uint64(_ODD[0])
 
 
+def shingle_set(text: str | None, k: int = SHINGLE) -> np.ndarray:
+    """Sorted hashes of the distinct shingles."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, k)]))
+
+
 def signature(text: str | None, k: int = SHINGLE) -> tuple[bytes, list[int]]:
-    """Wide fingerprint of the set of shingles, and the keys of its classes."""
-    parts = list(shingle_hashes(text, k))
-    if not parts:
-        return bytes(8 * WORDS), [0]
-    hashes = np.unique(np.concatenate(parts))
+    """Wide fingerprint of the set of shingles, with a hash of the set behind it, and the keys of
+    its classes."""
+    hashes = shingle_set(text, k)
+    if not len(hashes):
+        return bytes(8 * WORDS + 8), [0]
     n, counts = len(hashes), np.zeros(64 * WORDS, np.int64)
     for at in range(0, n, SLICE):
         part = hashes[at : at + SLICE]
@@ -172,7 +182,7 @@ def signature(text: str | None, k: int = SHINGLE) -> tuple[bytes, list[int]]:
         np.add.at(sums, of[inside], _mix(mixed[inside], 0x2545F4914F6CDD1D))
         for c in np.unique(of[inside]):
             keys.append(xxhash.xxh64_intdigest(b"%d %d %d" % (bits, c, sums[c]), SEED))
-    return _packed(2 * counts > n), [k - (1 << 64) if k >= 1 << 63 else k for k in keys]
+    return _packed(2 * counts > n) + xxhash.xxh64_digest(hashes.tobytes(), SEED), [k - (1 << 64) if k >= 1 << 63 else k for k in keys]
 
 
 def signatures(text: Column, k: int = SHINGLE) -> Column:
@@ -183,60 +193,83 @@ def signatures(text: Column, k: int = SHINGLE) -> Column:
     return of(text)
 
 
-def wide_radius(similarity: float = SIMILARITY) -> int:
-    """Bits in which sets of equal size with that Jaccard similarity differ, on average."""
-    return math.floor(64 * WORDS * math.acos(2 * similarity / (1 + similarity)) / math.pi)
-
+def shingle_sets(text: Column, k: int = SHINGLE) -> Column:
+    @F.pandas_udf(T.BinaryType())
+    def of(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: shingle_set(t, k).tobytes())
 
-def near(one: np.ndarray, many: np.ndarray, radius: int) -> np.ndarray:
-    """Which of the fingerprints (rows of words) are within the radius: ring chain, then all bits."""
-    ring = np.bitwise_count(many ^ one).astype(np.int64)
-    chain = np.zeros(len(many), bool)
-    budget = np.arange(1, WORDS + 1) * radius
-    for start in range(WORDS):
-        chain |= (np.cumsum(np.roll(ring, -start, axis=1), axis=1) * WORDS <= budget).all(axis=1)
-    out = np.flatnonzero(chain)
-    return out[ring[out].sum(axis=1) <= radius]
+    return of(text)
 
 
-def _led(batches: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFrame]:
-    """Rows (part, key, fp) sorted by part: each fingerprint is linked to the leaders of its part
-    that are near, or leads itself. Leaders come out as rows without a partner."""
-    current, leaders = None, []
+def wide_radius(similarity: float = SIMILARITY) -> int:
+    """Bits that hardly any pair of sets with that Jaccard similarity exceeds: the mean of sets of
+    equal size, and DEVIATIONS."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(64 * WORDS * share + DEVIATIONS * math.sqrt(64 * WORDS * share * (1 - share)))
+
+
+def alike(one: np.ndarray, other: np.ndarray, similarity: float) -> bool:
+    """Whether two sets have the Jaccard similarity."""
+    small, large = sorted((len(one), len(other)))
+    if small < similarity * large - 1e-9:
+        return False
+    both = len(np.intersect1d(one, other, assume_unique=True))
+    return both >= similarity * (small + large - both) - 1e-9
+
+
+def _linked(batches: Iterator[pd.DataFrame], radius: int, similarity: float | None) -> Iterator[pd.DataFrame]:
+    """Rows (part, fp and, with a similarity, set) sorted by part: each fingerprint is compared with
+    all earlier ones of its part. Links come out that join two trees of the part."""
+    current, n = None, 0
+    prints, trees = np.zeros((64, WORDS), np.uint64), np.zeros(64, np.int64)
+    names: list[bytes] = []
+    sets: list[np.ndarray] = []
     for batch in batches:
         out = []
-        for part, key, fp in zip(batch["part"], batch["key"], batch["fp"]):
+        for part, fp, *own in batch.itertuples(index=False):
             if part != current:
-                current, leaders = part, []
-            words = np.frombuffer(fp, "<u8")
-            hits = near(words, np.stack(leaders), radius) if leaders else ()
-            if len(hits):
-                out += [(key, fp, leaders[i].tobytes()) for i in hits]
-            else:
-                leaders.append(words)
-                out.append((key, fp, None))
-        yield pd.DataFrame(out, columns=["key", "a", "b"])
-
-
-def _leaders(keyed: DataFrame, radius: int) -> DataFrame:
-    sorted_parts = keyed.repartition("part").sortWithinPartitions("part", "fp")
-    return sorted_parts.mapInPandas(lambda batches: _led(batches, radius), "key bigint, a binary, b binary")
-
-
-def similar(distinct: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Links (a, b) between the distinct signatures (fp, keys).
-
-    Under a key, fingerprints are compared with leaders only, so copies of one text make as many
-    links as there are copies. A key with over HOT fingerprints is dealt over several parts; the
-    leaders of its parts then meet under the key alone."""
-    radius = wide_radius(similarity)
-    keyed = distinct.select("fp", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("fp").alias("n")).where("n > 1")
-    salt = F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / HOT))
-    parts = keyed.join(shared, "key").select("key", "fp", F.xxhash64("key", salt).alias("part"), (F.col("n") > HOT).alias("hot"))
-    first = stored(_leaders(parts.select("part", "key", "fp"), radius), "led")
-    again = first.where(F.col("b").isNull()).join(shared.where(F.col("n") > HOT), "key").select(F.col("key").alias("part"), "key", F.col("a").alias("fp"))
-    return first.unionByName(_leaders(again, radius)).where(F.col("b").isNotNull()).select("a", "b").distinct()
+                current, n, names, sets = part, 0, [], []
+            if n == len(prints):
+                prints, trees = np.concatenate([prints, prints]), np.concatenate([trees, trees])
+            prints[n], trees[n] = np.frombuffer(fp, "<u8")[:WORDS], n
+            names.append(fp)
+            if similarity is not None:
+                sets.append(np.frombuffer(own[0], np.uint64))
+            bits = np.bitwise_count(prints[:n] ^ prints[n]).sum(axis=1, dtype=np.int64)
+            hits = np.flatnonzero(bits <= radius)
+            hits = hits[np.argsort(bits[hits], kind="stable")]
+            while len(hits):
+                i, hits = hits[0], hits[1:]
+                if similarity is None or alike(sets[i], sets[n], similarity):
+                    out.append((fp, names[i]))
+                    trees[:n][trees[:n] == trees[i]] = n
+                    hits = hits[trees[hits] != n]
+            n += 1
+        yield pd.DataFrame(out, columns=["a", "b"])
+
+
+def _links(rows: DataFrame, of: str, size: int, radius: int, similarity: float | None = None) -> DataFrame:
+    """Links within each group of ``rows`` (column ``of``, fp, set). A group of more than ``size``
+    rows is dealt into blocks, and each two blocks meet in a task."""
+    shared = rows.groupBy(of).agg(F.count("fp").alias("n")).where("n > 1")
+    blocks = F.ceil(F.col("n") / size)
+    dealt = rows.join(shared, of).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("blocks = 1 OR block != other")
+    part = F.xxhash64(of, F.least("block", "other"), F.greatest("block", "other")).alias("part")
+    own = ["set"] if similarity is not None else []
+    parts = met.select(part, "fp", *own).repartition("part").sortWithinPartitions("part", "fp")
+    return parts.mapInPandas(lambda batches: _linked(batches, radius, similarity), "a binary, b binary").distinct()
+
+
+def candidates(distinct: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Links (a, b) that connect what is within the radius under a key of the distinct signatures
+    (fp, keys). Per key they are fewer than its fingerprints."""
+    return _links(distinct.select("fp", F.explode("keys").alias("key")), "key", HOT, wide_radius(similarity))
+
+
+def similar(grouped: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Links (a, b) that connect all pairs of the similarity within the groups (label, fp, set)."""
+    return _links(grouped, "label", BLOCK, wide_radius(similarity), similarity)
 
 
 def without_near_copies(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE) -> DataFrame:
@@ -249,7 +282,12 @@ def without_near_copies(docs: DataFrame, similarity: float = SIMILARITY, k: int
     signed = stored(signed.select("id", "h", "s.*"), "signatures")
     first = F.min(F.struct("id", "h")).alias("first")
     distinct = stored(signed.groupBy("fp").agg(first, F.any_value("keys").alias("keys")), "distinct")
-    label = components(similar(distinct.select("fp", "keys"), similarity)).withColumnRenamed("node", "fp")
+    maybe = components(candidates(distinct.select("fp", "keys"), similarity)).withColumnRenamed("node", "fp")
+    places = distinct.join(maybe, "fp").select("label", "fp", F.col("first.id").alias("id"), F.col("first.h").alias("h"))
+    texts = docs.select(F.coalesce(id_, last).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    found = places.join(texts, ["id", "h"])
+    grouped = stored(found.select("label", "fp", shingle_sets(F.col("text"), k).alias("set")), "sets")
+    label = components(similar(grouped, similarity)).withColumnRenamed("node", "fp")
     kept = distinct.select("fp", "first").join(label, "fp", "left").groupBy(F.coalesce("label", "fp").alias("label")).agg(F.min("first").alias("first"))
     names = [free_name(docs, n) for n in ("_id", "_h", "_n")]
     wanted = kept.select(F.col("first.id").alias(names[0]), F.col("first.h").alias(names[1]))

@@ -97,3 +97,26 @@ def test_hot_keys_meet_in_two_steps(spark, documents, monkeypatch):
     texts = [" ".join([*words[:i], "w", *words[i + 1 :]]) for i in range(60)]
     monkeypatch.setattr(q, "HOT", 5)
     assert q.without_near_copies(documents(texts)).count() == 1
+
+
+def test_near_copies_equal_brute_force_pairs(spark, documents, monkeypatch):
+    rng = random.Random(12)
+    texts = []
+    for _ in range(25):
+        words = [f"{rng.randrange(10**6)}" for _ in range(rng.choice((60, 150, 400)))]
+        for _ in range(8):  # copies of copies on both sides of the similarity
+            changed = list(words)
+            for at in rng.sample(range(len(words)), max(1, round(len(words) * rng.uniform(0.002, 0.035)))):
+                changed[at] = f"w{rng.randrange(10**6)}"
+            texts.append(" ".join(changed))
+            if rng.random() < 0.3:
+                words = changed
+    sets = [set(q.shingle_set(t).tolist()) for t in texts]
+    alike = {(i, j): len(a & b) / len(a | b) for i, a in enumerate(sets) for j, b in enumerate(sets[:i])}
+    pairs = [p for p, s in alike.items() if s >= 0.8]
+    assert len(pairs) > 100 and sum(0.8 <= s < 0.84 for s in alike.values()) > 20 and sum(0.7 < s < 0.8 for s in alike.values()) > 100
+    label = closure(pairs, range(len(texts)))
+    for hot, block in ((q.HOT, q.BLOCK), (3, 4)):
+        monkeypatch.setattr(q, "HOT", hot)
+        monkeypatch.setattr(q, "BLOCK", block)
+        assert {r.doc_id for r in q.without_near_copies(documents(texts)).collect()} == set(label.values())
