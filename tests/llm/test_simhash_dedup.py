@@ -120,3 +120,16 @@ def test_near_copies_equal_brute_force_pairs(spark, documents, monkeypatch):
         monkeypatch.setattr(q, "HOT", hot)
         monkeypatch.setattr(q, "BLOCK", block)
         assert {r.doc_id for r in q.without_near_copies(documents(texts)).collect()} == set(label.values())
+
+
+def test_a_link_between_followers_is_found():
+    import numpy as np
+    import pandas as pd
+
+    def bits(*at):
+        return np.packbits([b in at for b in range(576)], bitorder="little").tobytes()
+
+    # b is near a and c, c is not near a
+    rows = pd.DataFrame({"part": 1, "fp": [bits(), bits(*range(100)), bits(*range(200))]})
+    found = pd.concat(q._linked(iter([rows]), 110, None))
+    assert len(found) == 2
