@@ -2,14 +2,14 @@
 
 Three base patterns give the sure spans. Besides, every long token of mixed letters and digits is a
 candidate, and so is the value of every base span. Candidates are hashed and counted over the
-corpus by distinct owner (``source``) and distinct repository (``doc_id``). A value under many
-owners is a copied example; a value with one owner, and there in few repositories only, looks
-live. Live tokens that no base span touches are added as spans of kind ``live``; base spans stay in
+corpus by distinct owner (``source``) and distinct repository (``doc_id``). Equal texts are one
+repository, that of the smallest doc_id. A value under many owners is a copied example; a value with
+one owner looks live, in however many repositories. Live tokens that no base span touches are added as spans of kind ``live``; base spans stay in
 any case and are counted as live or copied.
 
 Places come from splitting a text at its matches: the lengths of the parts between and of the
-matches add up to the offsets, in code points. Counting is by distinct (value, owner, repository),
-then (value, owner), then value, each combining map-side, so a value that is everywhere is a few
+matches add up to the offsets, in code points. Counting is by distinct (value, text), (value, owner,
+repository), then (value, owner), then value, each combining map-side, so a value that is everywhere is a few
 rows per task.
 
 Cases: a null text is empty; a null source is one owner, a null id one repository; rows that repeat
@@ -34,7 +34,6 @@ BASE = (
 TOKEN = "[A-Za-z0-9+/_=-]{20,}"
 MIXED = ("[A-Za-z]", "[0-9]")
 MAX_OWNERS = 1
-MAX_REPOSITORIES = 2
 
 SPAN = "array<struct<start:int,rank:int,kind:string,end:int,value:string>>"
 
@@ -83,13 +82,14 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, one), ",")
 
 
-def judged(docs: DataFrame, max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
+def judged(docs: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
     """doc_id, counts and digest of the base spans, all spans, and how many base values look live
-    (few owners and repositories) or copied."""
+    (few owners) or copied."""
     rows = scanned(docs)
     places = rows.select("doc_id", "h", "source", F.explode(F.concat("base", "tokens")).alias("span")).withColumn("v", F.xxhash64("span.value"))
-    owned = ownership(places.select("v", "source", "doc_id"))
-    live = (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)
+    by_copy = places.groupBy("v", "h").agg(F.min(F.struct("doc_id", "source")).alias("first"))
+    owned = ownership(by_copy.select("v", "first.source", "first.doc_id"))
+    live = F.col("owners") <= max_owners
     verdicts = places.select("doc_id", "h", "span", "v").distinct().join(owned.select("v", live.alias("live")), "v")
     own = F.col("span.rank") == len(BASE)
     by_document = verdicts.groupBy("doc_id", "h").agg(

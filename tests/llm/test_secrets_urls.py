@@ -58,6 +58,16 @@ def test_ownership_counts_owners_and_repositories(spark):
     assert got == {1: (2, 3), 2: (1, 1)}
 
 
+def test_tokens_of_one_owner_are_live_in_any_number_of_documents(spark, documents):
+    own, mirrored = OWN.replace("9F", "Wf"), OWN.replace("9F", "Yf")
+    texts = [(i, f"number {i} has {own}") for i in range(0, 30, 3) if i != 3]  # one source
+    texts += [(100 + i, f"copy of {mirrored} password=abc{mirrored}") for i in range(6)]  # equal texts in three sources
+    texts += [(200 + i, f"example {i} of {COPIED} and secret={COPIED}") for i in range(6)]
+    rows = {r.doc_id: r for r in secret_scan.judged(documents(texts)).collect()}
+    assert all(("live:" in r.spans) == (i < 200) for i, r in rows.items())
+    assert all((r.n_live, r.n_copied) == ((0, 0) if i < 100 else (1, 0) if i < 200 else (0, 1)) for i, r in rows.items())
+
+
 def test_secrets_of_odd_rows(spark, documents):
     text = "password=abcdefgh"
     rows = secret_scan.judged(documents([(None, text), (None, text), (2, None)])).collect()
