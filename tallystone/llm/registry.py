@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from tallystone.llm import conversation_repair, decontamination, line_dedup, packing, quality_rules, secret_scan, sharding, simhash_dedup, suffix_dedup, url_filter, window_dedup
+from tallystone.llm import conversation_repair, decontamination, lexical_search, line_dedup, packing, quality_rules, secret_scan, sharding, simhash_dedup, suffix_dedup, url_filter, window_dedup
 from tallystone.llm.common import table
 
 
@@ -52,6 +52,10 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judged(table(spark, folder, "pages").select("page_id", "url"), url_filter.rule_table(spark))
 
 
+def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.searched(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark").select("item_id", "text"))
+
+
 def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     return conversation_repair.judged(table(spark, folder, "conversations").select("conv_id", "turn", "role", "text"))
 
@@ -68,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_window_dedup,
         op9_packing,
         op10_url_filter,
+        op12_lexical_search,
         op13_conversation_repair,
     )
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
@@ -78,5 +83,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_decontamination": decontamination.ORACLE,
         "op8_window_dedup": window_dedup.ORACLE,
         "op10_url_filter": url_filter.ORACLE,
+        "op12_lexical_search": lexical_search.ORACLE,
         "op13_conversation_repair": conversation_repair.ORACLE,
     }
