@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from tallystone.llm import conversation_repair, decontamination, lexical_search, line_dedup, packing, quality_rules, secret_scan, sharding, simhash_dedup, suffix_dedup, url_filter, window_dedup
+from tallystone.llm import conversation_repair, decontamination, embedding_dedup, lexical_search, line_dedup, packing, quality_rules, secret_scan, sharding, simhash_dedup, suffix_dedup, url_filter, window_dedup
 from tallystone.llm.common import table
 
 
@@ -52,6 +52,10 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judged(table(spark, folder, "pages").select("page_id", "url"), url_filter.rule_table(spark))
 
 
+def op11_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dedup.linked(table(spark, folder, "embeddings").select("vec_id", "embedding"))
+
+
 def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
     return lexical_search.searched(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark").select("item_id", "text"))
 
@@ -72,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_window_dedup,
         op9_packing,
         op10_url_filter,
+        op11_embedding_dedup,
         op12_lexical_search,
         op13_conversation_repair,
     )
@@ -83,6 +88,7 @@ def oracle_sql() -> dict[str, str]:
         "op6_decontamination": decontamination.ORACLE,
         "op8_window_dedup": window_dedup.ORACLE,
         "op10_url_filter": url_filter.ORACLE,
+        "op11_embedding_dedup": embedding_dedup.ORACLE,
         "op12_lexical_search": lexical_search.ORACLE,
         "op13_conversation_repair": conversation_repair.ORACLE,
     }
