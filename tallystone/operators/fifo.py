@@ -175,10 +175,18 @@ def fill_usage(fills: DataFrame, cuts: DataFrame | None = None) -> DataFrame:
     )
 
 
-def realized_contribution() -> Column:
-    """What the consumed units of a fill add to realized profit: their cash, less their fee."""
+def realized_contribution(carried: bool = False) -> Column:
+    """What the consumed units of a fill add to realized profit: their cash, less their fee.
+
+    ``carried`` fills may be rests of lots: they pay the share of all units used so far less the share
+    paid before, so the shares of all parts add up to the fee."""
     used = (F.col("quantity") - F.col("remaining_quantity")).cast(QUANTITY_SUM)
-    return (F.when(F.col("side") == "SELL", _amount("price", used)).otherwise(-_amount("price", used)) - _fee_of(used)).cast(AMOUNT)
+    fee = _fee_of(used)
+    if carried:
+        earlier = (F.col("fee_quantity") - F.col("quantity")).cast(QUANTITY_SUM)
+        so_far = (F.col("fee_quantity") - F.col("remaining_quantity")).cast(QUANTITY_SUM)
+        fee = F.when(earlier > 0, _fee_of(so_far).cast(_PART) - _fee_of(earlier).cast(_PART)).otherwise(fee).cast(AMOUNT)
+    return (F.when(F.col("side") == "SELL", _amount("price", used)).otherwise(-_amount("price", used)).cast(_PART) - fee.cast(_PART)).cast(AMOUNT)
 
 
 def remaining_cost() -> Column:

@@ -16,7 +16,7 @@ from tallystone.plans.store import Store
 from tallystone.schemas import NATURAL_KEYS
 from tallystone.session import scratch_path, stored
 from tallystone.sources import star, statements, tables
-from tallystone.streaming import incremental
+from tallystone.streaming import incremental, lots, state
 
 TRADE_ORDER = ("trade_timestamp_utc", "source_raw_record_id")
 CASH_ORDER = ("effective_at_utc", "source_raw_record_id")
@@ -626,11 +626,13 @@ def stream_corrections(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stream_dedupe(spark: SparkSession, folder: str) -> DataFrame:
-    event = star.table_stream(spark, folder, "events")
-    keys = ["user_id", "event_type", "bucket"]
-    rows = event.select("user_id", "event_type", (F.col("event_id") % 7).alias("bucket"), F.col("ts").cast("timestamp").alias("at"))
-    path = scratch_path(spark, "dedupe")
-    incremental.distinct_stream(rows, keys, "at", "400 days", path)
+    """Distinct events per user, type and day, arriving in order; state holds the keys of the last days only."""
+    event = star.table(spark, folder, "events")
+    day = F.to_date("ts")
+    rows = event.select("user_id", "event_type", day.alias("day"), F.col("ts").cast("timestamp").alias("at"))
+    path, keys = scratch_path(spark, "dedupe"), ["user_id", "event_type", "day"]
+    for feed in _arrivals(rows, "day", ("2024-01-12", "2024-01-25", "2024-02-10")):
+        incremental.distinct_stream(feed, keys, "at", "2 days", path)
     return spark.read.parquet(f"{path}/rows").select(*keys)
 
 
@@ -666,6 +668,18 @@ def stream_fifo(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def stream_fifo_state(spark: SparkSession, folder: str) -> DataFrame:
+    """Fills in order of time through keyed state, with fees that don't divide; some fills come again with the last arrival."""
+    path = scratch_path(spark, "lots")
+    fills = star.uneven_fills(spark, folder).withColumn("arrival", F.to_date("trade_timestamp_utc"))
+    again = fills.where((F.col("arrival") < F.lit("1997-01-01").cast("date")) & (F.pmod(F.xxhash64("fill_id"), F.lit(10)) == 0))
+    fed = fills.unionByName(again.withColumn("arrival", F.lit("2100-01-01").cast("date")))
+    for feed in _arrivals(fed, "arrival", ("1997-01-01", "1999-01-01", "2000-06-01")):
+        lots.lot_stream(feed, path)
+        state.compact(spark, path, lots.RESULT_KEYS, lots.OUT, keep=1)
+    return lots.positions(spark, path).select("account_id", "instrument_id", F.col("realized").cast(text.MONEY).alias("realized_pnl"), "fill_count")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -679,6 +693,6 @@ QUERIES = {
         missing_sections, canonical_details, error_codes, latest_run, slo_success_rate, slo_p95, retention_split, dq_rules,
         eod_mark, fx_fallback, corp_action_class, provisional_scope, pnl_by_instrument, pnl_by_label, group_summary, label_rollup,
         recon_diff, provenance, drilldown, csv_contract,
-        stream_ingest, stream_corrections, stream_dedupe, stream_stage_window, stream_fifo,
+        stream_ingest, stream_corrections, stream_dedupe, stream_stage_window, stream_fifo, stream_fifo_state,
     )
 }

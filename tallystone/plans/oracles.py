@@ -744,7 +744,7 @@ def oracle_queries() -> dict[str, str]:
             "snapshot", "labels",
         ),
         "stream_corrections": _with("SELECT * FROM cash_merged", "cash_merged"),
-        "stream_dedupe": "SELECT DISTINCT user_id, event_type, event_id % 7 AS bucket FROM events",
+        "stream_dedupe": "SELECT DISTINCT user_id, event_type, CAST(ts AS DATE) AS day FROM events",
         "stream_stage_window": """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS window_start, event_type AS stage,
             CASE WHEN event_type = 'error' THEN 'failed' ELSE 'completed' END AS status, count(*) AS event_count FROM events GROUP BY ALL""",
         "stream_fifo": _with(
@@ -760,6 +760,7 @@ def oracle_queries() -> dict[str, str]:
             "snapshot", "instruments",
         ),
     }
+    sqls["stream_fifo_state"] = sqls["fifo_uneven_fees"]
     for name in ("fifo_realized", "fifo_matches"):
         sqls[f"{name}_split"] = sqls[name]
     xml = sqls["xml_rows"]
