@@ -250,29 +250,29 @@ _VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
         """
         SELECT *, salt % 31 <> 0 AND salt % 61 <> 0 AND salt % 37 <> 0 AS routed,
           CASE WHEN salt % 31 = 0 THEN 'Trades:Order:ibExecID=' WHEN salt % 61 = 0 THEN 'Other:Trade:ibExecID=' ELSE 'Trades:Trade:ibExecID=' END || ib_exec_id AS row_ref,
-          [CASE WHEN salt % 41 = 0 THEN {'field': 'conid', 'reason': 'missing required field', 'value': NULL} END,
-           CASE WHEN salt % 43 = 0 THEN {'field': 'quantity', 'reason': 'invalid decimal field', 'value': 'abc'} END,
-           CASE WHEN salt % 47 = 0 THEN {'field': 'tradePrice', 'reason': 'invalid decimal field', 'value': '-'} END,
-           CASE WHEN salt % 53 = 0 THEN {'field': 'dateTime', 'reason': 'invalid timestamp field', 'value': 'yesterday'} END,
-           CASE WHEN salt % 59 = 0 THEN {'field': 'reportDate', 'reason': 'invalid reportDate format', 'value': '2026-13-40'}
-             WHEN salt % 4 = 0 AND salt % 67 = 0 THEN {'field': 'reportDate', 'reason': 'missing report date', 'value': NULL} END] AS faults
+          [CASE WHEN salt % 41 = 0 THEN {'field': 'conid', 'reason': 'a value is required', 'value': NULL} END,
+           CASE WHEN salt % 43 = 0 THEN {'field': 'quantity', 'reason': 'no decimal number', 'value': 'abc'} END,
+           CASE WHEN salt % 47 = 0 THEN {'field': 'tradePrice', 'reason': 'no decimal number', 'value': '-'} END,
+           CASE WHEN salt % 53 = 0 THEN {'field': 'dateTime', 'reason': 'no date and time', 'value': 'yesterday'} END,
+           CASE WHEN salt % 59 = 0 THEN {'field': 'reportDate', 'reason': 'no date in a known form', 'value': '2026-13-40'}
+             WHEN salt % 4 = 0 AND salt % 67 = 0 THEN {'field': 'reportDate', 'reason': 'neither row nor statement has a date', 'value': NULL} END] AS faults
         FROM salted""",
         ("salted",),
     ),
     "cash_rows": (
         """
         SELECT *, 'CashTransactions:CashTransaction:transactionID=' || transaction_id AS row_ref,
-          [CASE WHEN event_id % 29 = 0 THEN {'field': 'transactionID', 'reason': 'missing required field', 'value': ' '} END,
-           CASE WHEN event_id % 31 = 0 THEN {'field': 'amount', 'reason': 'invalid decimal field', 'value': 'NaN'} END,
-           CASE WHEN event_id % 37 = 0 THEN {'field': 'dateTime', 'reason': 'invalid timestamp field', 'value': '2026/02/14 10:00:00'} END] AS faults
+          [CASE WHEN event_id % 29 = 0 THEN {'field': 'transactionID', 'reason': 'a value is required', 'value': ' '} END,
+           CASE WHEN event_id % 31 = 0 THEN {'field': 'amount', 'reason': 'no decimal number', 'value': 'NaN'} END,
+           CASE WHEN event_id % 37 = 0 THEN {'field': 'dateTime', 'reason': 'no date and time', 'value': '2026/02/14 10:00:00'} END] AS faults
         FROM cash_raw""",
         ("cash_raw",),
     ),
     "fx_rows": (
         """
         SELECT *, 'ConversionRates:ConversionRate:idx=' || (o_orderkey % 50) AS row_ref,
-          [CASE WHEN o_orderkey % 41 = 0 THEN {'field': 'fromCurrency', 'reason': 'missing required field', 'value': ''} END,
-           CASE WHEN o_orderkey % 43 = 0 THEN {'field': 'rate', 'reason': 'invalid decimal field', 'value': 'Infinity'} END] AS faults
+          [CASE WHEN o_orderkey % 41 = 0 THEN {'field': 'fromCurrency', 'reason': 'a value is required', 'value': ''} END,
+           CASE WHEN o_orderkey % 43 = 0 THEN {'field': 'rate', 'reason': 'no decimal number', 'value': 'Infinity'} END] AS faults
         FROM fx_raw""",
         ("fx_raw",),
     ),
@@ -280,8 +280,8 @@ _VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
         """
         SELECT *, o_orderkey % 53 <> 0 AS routed,
           CASE WHEN o_orderkey % 53 = 0 THEN 'CorporateActions:Summary:idx=' ELSE 'CorporateActions:CorporateAction:idx=' END || (o_orderkey % 50) AS row_ref,
-          [CASE WHEN o_orderkey % 47 = 0 THEN {'field': 'type', 'reason': 'missing required field', 'value': NULL} END,
-           CASE WHEN action_id IS NULL AND transaction_id IS NULL THEN {'field': 'actionID', 'reason': 'missing action and transaction id', 'value': NULL} END] AS faults
+          [CASE WHEN o_orderkey % 47 = 0 THEN {'field': 'type', 'reason': 'a value is required', 'value': NULL} END,
+           CASE WHEN action_id IS NULL AND transaction_id IS NULL THEN {'field': 'actionID', 'reason': 'an action or transaction id is required', 'value': NULL} END] AS faults
         FROM actions_raw""",
         ("actions_raw",),
     ),
@@ -312,9 +312,9 @@ _VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
     "statement_rows": (
         """
         SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS payload_id, o_custkey, o_orderdate,
-          CASE WHEN o_orderkey % 29 = 0 THEN 'payload must contain valid XML' WHEN o_orderkey % 31 = 0 THEN 'statement node not found in payload'
-            WHEN o_orderkey % 17 = 0 THEN 'count attribute does not match statement nodes'
-            WHEN o_orderkey % 19 = 0 THEN 'count attribute must not be blank' END AS reason
+          CASE WHEN o_orderkey % 29 = 0 THEN 'the payload is not well-formed XML' WHEN o_orderkey % 31 = 0 THEN 'the payload holds no statement'
+            WHEN o_orderkey % 17 = 0 THEN 'the statement count differs from the statements found'
+            WHEN o_orderkey % 19 = 0 THEN 'the statement count is blank' END AS reason
         FROM orders""",
         (),
     ),

@@ -372,7 +372,9 @@ def raw_records(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(F.when(order_number % 53 == 0, "CorporateActions:Summary:idx=").otherwise("CorporateActions:CorporateAction:idx="), (order_number % 50).cast("string")).alias("source_row_ref"),
         "report_date_local", action_payload.alias("source_payload"), F.col("report_date_local").cast("timestamp_ntz").alias("created_at_utc"),
     )
-    return trades.unionByName(cash).unionByName(fx).unionByName(actions)
+    # each payload is made once: lookups of its keys stay above the generator
+    whole = lambda rows: rows.select(F.inline(F.array(F.struct("*"))))
+    return whole(trades).unionByName(whole(cash)).unionByName(whole(fx)).unionByName(whole(actions))
 
 
 def statement_payloads(order: DataFrame) -> DataFrame:
