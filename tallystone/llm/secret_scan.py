@@ -2,9 +2,10 @@
 
 Three base patterns give the sure spans. Besides, every long token of mixed letters and digits is a
 candidate, and so is the value of every base span. Candidates are hashed and counted over the
-corpus by distinct owner (``source``) and distinct repository (``doc_id``). Equal texts are one
-repository, that of the smallest doc_id. A value under many owners is a copied example; a value with
-one owner looks live, in however many repositories. Live tokens that no base span touches are added as spans of kind ``live``; base spans stay in
+corpus by distinct owner (``source``) and distinct repository (``doc_id``). Equal texts of an owner are one
+repository; the same text under several owners has them all. A value of several owners is a copied example, unless
+nearly all of its repositories belong to one of them; such a value and one with a single owner look live, in
+however many repositories. Live tokens that no base span touches are added as spans of kind ``live``; base spans stay in
 any case and are counted as live or copied.
 
 Places come from splitting a text at its matches: the lengths of the parts between and of the
@@ -24,6 +25,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallystone.session import stored
+
 #: Base kinds in their order, pattern (Java), group that must be long, its least length.
 BASE = (
     ("assign", "(?i)(password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 6),
@@ -34,6 +37,8 @@ BASE = (
 TOKEN = "[A-Za-z0-9+/_=-]{20,}"
 MIXED = ("[A-Za-z]", "[0-9]")
 MAX_OWNERS = 1
+#: With more owners than that, a value is still owner-specific if one of them has this share of its repositories.
+OWNER_SHARE = 0.9
 
 SPAN = "array<struct<start:int,rank:int,kind:string,end:int,value:string>>"
 
@@ -70,11 +75,13 @@ def scanned(docs: DataFrame) -> DataFrame:
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
-    """(v, owners, repositories) for rows (v, source, doc_id), one per place."""
+    """(v, owners, repositories, largest) for rows (v, h, source, doc_id), one per place: how many owners a value has, in how
+    many repositories it stands, and in how many of the owner that has most of them."""
     owner = F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))
-    by_repository = candidates.groupBy("v", owner.alias("owner"), "doc_id").agg(F.lit(1).alias("one"))
+    by_text = candidates.groupBy("v", owner.alias("owner"), "h").agg(F.min("doc_id").alias("doc_id"))
+    by_repository = by_text.groupBy("v", "owner", "doc_id").agg(F.lit(1).alias("one"))
     by_owner = by_repository.groupBy("v", "owner").agg(F.count("one").alias("n"))
-    return by_owner.groupBy("v").agg(F.count("owner").alias("owners"), F.sum("n").alias("repositories"))
+    return by_owner.groupBy("v").agg(F.count("owner").alias("owners"), F.sum("n").alias("repositories"), F.max("n").alias("largest"))
 
 
 def _listed(spans: Column) -> Column:
@@ -82,14 +89,13 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, one), ",")
 
 
-def judged(docs: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
+def judged(docs: DataFrame, max_owners: int = MAX_OWNERS, owner_share: float = OWNER_SHARE) -> DataFrame:
     """doc_id, counts and digest of the base spans, all spans, and how many base values look live
     (few owners) or copied."""
-    rows = scanned(docs)
+    rows = stored(scanned(docs), "scanned")  # texts are scanned once
     places = rows.select("doc_id", "h", "source", F.explode(F.concat("base", "tokens")).alias("span")).withColumn("v", F.xxhash64("span.value"))
-    by_copy = places.groupBy("v", "h").agg(F.min(F.struct("doc_id", "source")).alias("first"))
-    owned = ownership(by_copy.select("v", "first.source", "first.doc_id"))
-    live = F.col("owners") <= max_owners
+    owned = ownership(places.select("v", "h", "source", "doc_id"))
+    live = (F.col("owners") <= max_owners) | (F.col("largest") >= F.lit(owner_share) * F.col("repositories"))
     verdicts = places.select("doc_id", "h", "span", "v").distinct().join(owned.select("v", live.alias("live")), "v")
     own = F.col("span.rank") == len(BASE)
     by_document = verdicts.groupBy("doc_id", "h").agg(

@@ -13,8 +13,8 @@ prefixes, one row per range and letter of its first key.
 
 Longest: most labels and letters of host and path together; of equal rules (or a tie of a longer
 host with a shorter path) the longer path, then block. Cases: a null url, or one without ``://``, has
-empty host and path, fits no rule and gets the default verdict; an empty path does not begin with
-``/``; hosts keep ports and user parts; rules with a null host, path or verdict are left out;
+empty host and path, fits no rule and gets the default verdict; an empty path fits rules of an empty
+path (whole hosts) only; hosts keep ports and user parts; rules with a null host, path or verdict are left out;
 repeated rows of pages are judged one by one; an empty rule table gives every url the default.
 Other columns are not read.
 """
@@ -97,7 +97,7 @@ def judged(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, ranges: i
         (F.col("verdict") != "block").cast("int").alias("rank"),
     )
     parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.slice(labels, i, F.size(labels)))
-    entries = urls.where("host != '' and path != ''").select("row", "path", F.explode(parents).alias("parent"))
+    entries = urls.where("host != ''").select("row", "path", F.explode(parents).alias("parent"))
     asked = entries.select(_key(F.col("parent"), F.col("path")).alias("key"), "row", F.lit(None).cast("string").alias("rule"), F.lit(2).alias("rank"))
     order = ["key", "rank", "row", "rule"]
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))

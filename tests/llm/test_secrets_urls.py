@@ -53,9 +53,23 @@ def test_spans(spark, documents):
 
 
 def test_ownership_counts_owners_and_repositories(spark):
-    rows = [(1, "a", 1), (1, "a", 1), (1, "a", 2), (1, None, 3), (2, "a", None), (2, "a", None)]
-    got = {r.v: (r.owners, r.repositories) for r in secret_scan.ownership(spark.createDataFrame(rows, "v long, source string, doc_id long")).collect()}
-    assert got == {1: (2, 3), 2: (1, 1)}
+    rows = [(1, 7, "a", 1), (1, 7, "a", 1), (1, 8, "a", 2), (1, 8, "a", 4), (1, 9, None, 3), (2, 7, "a", None), (2, 7, "a", None)]
+    got = {r.v: (r.owners, r.repositories, r.largest) for r in secret_scan.ownership(spark.createDataFrame(rows, "v long, h long, source string, doc_id long")).collect()}
+    assert got == {1: (2, 3, 2), 2: (1, 1, 1)}
+
+
+def test_one_text_of_several_owners_is_copied_and_copies_of_one_owner_are_not(spark):
+    def spans(rows):
+        frame = spark.createDataFrame(rows, "doc_id long, source string, text string")
+        return {r.doc_id: r.spans for r in secret_scan.judged(frame).collect()}
+
+    text = f"key {OWN} end"
+    assert set(spans([(i, f"s{i}", text) for i in range(3)]).values()) == {""}
+    assert set(spans([(i, f"s{i}", f"{text} {i}") for i in range(3)]).values()) == {""}
+    assert set(spans([(i, "s", text) for i in range(30)]).values()) == {f"live:4:{4 + len(OWN)}"}
+    # thirty repositories of one owner, and a copy in another's
+    many = spans([(i, "s", f"{text} {i}") for i in range(30)] + [(99, "t", text)])
+    assert set(many.values()) == {f"live:4:{4 + len(OWN)}"}
 
 
 def test_tokens_of_one_owner_are_live_in_any_number_of_documents(spark, documents):
@@ -64,8 +78,8 @@ def test_tokens_of_one_owner_are_live_in_any_number_of_documents(spark, document
     texts += [(100 + i, f"copy of {mirrored} password=abc{mirrored}") for i in range(6)]  # equal texts in three sources
     texts += [(200 + i, f"example {i} of {COPIED} and secret={COPIED}") for i in range(6)]
     rows = {r.doc_id: r for r in secret_scan.judged(documents(texts)).collect()}
-    assert all(("live:" in r.spans) == (i < 200) for i, r in rows.items())
-    assert all((r.n_live, r.n_copied) == ((0, 0) if i < 100 else (1, 0) if i < 200 else (0, 1)) for i, r in rows.items())
+    assert all(("live:" in r.spans) == (i < 100) for i, r in rows.items())
+    assert all((r.n_live, r.n_copied) == ((0, 0) if i < 100 else (0, 1)) for i, r in rows.items())
 
 
 def test_secrets_of_odd_rows(spark, documents):
@@ -113,3 +127,13 @@ def test_urls_of_one_host_and_odd_tables(spark):
     nulls = url_filter.rule_table(spark, [(None, "/", "block"), ("org", None, "block"), ("org", "/", None)])
     assert {r.rule for r in url_filter.judged(pages, nulls).collect()} == {None}
     assert url_filter.judged(pages.limit(0), url_filter.rule_table(spark)).collect() == []
+
+
+def test_rules_of_whole_hosts_and_very_long_urls(spark):
+    rules = spark.createDataFrame([("example.org", "", "block"), ("a.example.org", "/x", "allow"), (None, "", "block")], "host string, path string, verdict string")
+    long = "/x" + "y" * 100_000
+    urls = ["http://example.org", "http://a.example.org?q", "http://a.example.org/x", "http://b.example.org/x", "http://notexample.org", f"http://a.example.org{long}", f"http://{'s.' * 200}example.org", None, "example.org"]
+    pages = spark.createDataFrame([(i, u, "h", 1) for i, u in enumerate(urls)], "page_id long, url string, host string, row int")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judged(pages, rules).collect()}
+    whole, part, none = ("example.org", "block"), ("a.example.org/x", "allow"), (None, url_filter.DEFAULT)
+    assert [got[i] for i in range(len(urls))] == [whole, whole, part, whole, none, part, whole, none, none]
