@@ -18,6 +18,8 @@ places kept; amounts have 16 places and 20 digits before the point.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,13 +66,13 @@ def _currency(df: DataFrame) -> list[str]:
     return [name for name in ("functional_currency",) if name in df.columns]
 
 
-def prepared_fills(fills: DataFrame) -> DataFrame:
+def prepared_fills(fills: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """Fills with positive quantity, one signed quantity and one fee.
 
     Needs KEYS, ORDER, ``fill_id``, ``side``, ``quantity``, ``price``, ``fees`` and, when
     present, ``withholding_tax`` and ``fee_quantity``, the units that the fees were paid for
     (the rest of a partly closed lot keeps those of the whole). The sign of a quantity is ignored; a fill of zero
-    quantity opens and closes nothing and its side is not looked at."""
+    quantity opens and closes nothing and its side is not looked at. Columns to ``carry`` stay as they are."""
     tax = F.coalesce(F.col("withholding_tax"), _zero(MONEY)) if "withholding_tax" in fills.columns else _zero(MONEY)
     paid_for = F.coalesce("fee_quantity", "quantity") if "fee_quantity" in fills.columns else F.col("quantity")
     base = fills.select(
@@ -83,6 +85,7 @@ def prepared_fills(fills: DataFrame) -> DataFrame:
         F.col("price").cast(UNIT).alias("price"),
         (F.coalesce(F.col("fees"), _zero(MONEY)) + tax).cast(UNIT).alias("fee"),
         *_currency(fills),
+        *carry,
     )
     traded = F.col("quantity") != 0
     return base.withColumn("signed", F.when(traded, _signed(F.col("side"), F.col("quantity"))).otherwise(_zero(UNIT)))
@@ -128,9 +131,9 @@ def _fee_of(quantity: Column) -> Column:
     return fee_share(F.col("fee"), quantity, F.col("fee_quantity"))
 
 
-def fill_usage(fills: DataFrame, cuts: DataFrame | None = None) -> DataFrame:
+def fill_usage(fills: DataFrame, cuts: DataFrame | None = None, carry: Sequence[str] = ()) -> DataFrame:
     """Per fill: what it closes and opens, its places on the axes, and what is left of it."""
-    df = with_pieces(prepared_fills(fills), KEYS, order_value(ORDER), cuts)
+    df = with_pieces(prepared_fills(fills, carry), KEYS, order_value(ORDER), cuts)
     df = running_sums(df, KEYS, ORDER, {"position": F.col("signed")}, cuts, totals=True)
     before = (F.col("position") - F.col("signed")).cast(QUANTITY_SUM)
     closing = F.when(
@@ -171,6 +174,7 @@ def fill_usage(fills: DataFrame, cuts: DataFrame | None = None) -> DataFrame:
         (other_opened - other_held).cast(QUANTITY_SUM).alias("close_end"),
         remaining.alias("remaining_quantity"),
         *_currency(df),
+        *carry,
         *([PIECE] if cuts is not None else []),
     )
 

@@ -64,13 +64,21 @@ def build_snapshot(
     fills = fills.where(F.col("report_date_local") <= day)
     held = fifo.instrument_summary(fills, cuts)
     cash = cash_totals(cashflows.where(F.col("report_date_local") <= day))
-    broker = valuations.select(*KEYS, F.col("position_qty").alias("broker_qty"), "broker_unrealized_pnl")
-    joined = held.join(cash, KEYS, "left").join(broker, KEYS, "left")
+    return valued(held.withColumn("report_date_local", day), cash, valuations, ingestion_run_id)
+
+
+def valued(held: DataFrame, cash: DataFrame, valuations: DataFrame, ingestion_run_id: str | None, by_date: bool = False) -> DataFrame:
+    """Snapshot rows of what is held on report dates. Cash totals are joined by key, and by date where they have
+    one; broker rows by key, and with ``by_date`` by their report date."""
+    day = ["report_date_local"]
+    cash_keys, broker_keys = [*KEYS, *(day if "report_date_local" in cash.columns else [])], [*KEYS, *(day if by_date else [])]
+    broker = valuations.select(*broker_keys, F.col("position_qty").alias("broker_qty"), "broker_unrealized_pnl")
+    joined = held.join(cash, cash_keys, "left").join(broker, broker_keys, "left")
     source = valuation_source(F.col("position_qty"), F.col("broker_qty"))
     realized = F.col("fifo_realized") - _or_zero("cash_fees", AMOUNT) - _or_zero("withholding_tax", AMOUNT)
     rows = joined.select(
         *KEYS,
-        day.alias("report_date_local"),
+        "report_date_local",
         "position_qty",
         "cost_basis",
         realized.cast(MONEY).alias("realized_pnl"),

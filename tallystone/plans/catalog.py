@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallystone.functions import dates, ids, text, timeline
-from tallystone.operators import corporate, export, fallback, fifo, listing, mapping, merge, preflight, quality, reports, runs, snapshot
+from tallystone.operators import corporate, export, fallback, fifo, listing, mapping, merge, preflight, quality, reports, runs, series, snapshot
 from tallystone.operators.scan import split_points
 from tallystone import schemas
 from tallystone.plans import jobs
@@ -117,6 +117,21 @@ def snapshot_daily(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+SERIES_DATES = ("1993-06-30", "1995-12-31", "1996-12-31", "1998-03-31", "2001-12-31")
+
+
+def snapshot_series(spark: SparkSession, folder: str) -> DataFrame:
+    """The snapshots of several report dates from one pass over the fills."""
+    fills = tables.fills(star.first_executions(star.trade_raw(spark, folder))).transform(_as_fills)
+    return series.snapshot_series(fills, tables.cashflows(merged_cashflows(spark, folder)), valuation_latest(spark, folder), SERIES_DATES, "run-1", _cuts(spark, folder))
+
+
+def snapshot_series_split(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with most keys cut into pieces, as hot keys are."""
+    fills = tables.fills(star.first_executions(star.trade_raw(spark, folder))).transform(_as_fills)
+    return series.snapshot_series(fills, tables.cashflows(merged_cashflows(spark, folder)), valuation_latest(spark, folder), SERIES_DATES, "run-1", _cuts(spark, folder, min_rows=SPLIT_ROWS))
+
+
 def _as_fills(df: DataFrame) -> DataFrame:
     return df.withColumns(
         {"fill_id": F.col("ib_exec_id"), "fees": fifo.trade_fee(F.col("fees"), F.col("commission"))}
@@ -684,7 +699,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         fifo_realized, fifo_realized_split, fifo_uneven_fees, fifo_position, fifo_open_lots, fifo_matches, fifo_matches_split, position_lots, lot_ids, last_price, fifo_unrealized_at_mark,
-        open_cost_basis, fees_by_instrument, cash_totals, valuation_latest, snapshot_daily, snapshot_counters,
+        open_cost_basis, fees_by_instrument, cash_totals, valuation_latest, snapshot_daily, snapshot_series, snapshot_series_split, snapshot_counters,
         trade_merge, cashflow_merge, fx_merge, corp_action_merge, instrument_merge, raw_dedupe_counts, artifact_dedupe,
         map_trades, map_cashflows, map_fx, map_corp_actions, map_violations, row_tag_route, batch_counters, resolved_events,
         xml_rows, xml_rejected, statement_dates, required_sections,

@@ -760,6 +760,12 @@ def oracle_queries() -> dict[str, str]:
             "snapshot", "instruments",
         ),
     }
+    # broker rows are those of all fills, whatever the report date
+    one = _with("SELECT * FROM snapshot", "snapshot").replace("FROM net n JOIN part", "FROM every_net n JOIN part")
+    until = lambda day: one.replace("FROM firsts)", f"FROM firsts WHERE report_date_local <= DATE '{day}')", 1).replace("2001-12-31", day)
+    days = ("1993-06-30", "1995-12-31", "1996-12-31", "1998-03-31", "2001-12-31")
+    sqls["snapshot_series"] = f"WITH every_net AS ({_with('SELECT * FROM net', 'net')}) " + " UNION ALL ".join(f"SELECT * FROM ({until(day)})" for day in days)
+    sqls["snapshot_series_split"] = sqls["snapshot_series"]
     sqls["stream_fifo_state"] = sqls["fifo_uneven_fees"]
     for name in ("fifo_realized", "fifo_matches"):
         sqls[f"{name}_split"] = sqls[name]
