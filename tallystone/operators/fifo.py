@@ -257,7 +257,7 @@ def _axis_rows(usage: DataFrame) -> DataFrame:
     extra = [PIECE] if PIECE in usage.columns else []
     facts = F.struct(
         "fill_id", "trade_timestamp_utc", "price", "fee", "fee_quantity", "quantity",
-        "open_quantity", "remaining_quantity", "source_raw_record_id",
+        "open_quantity", "remaining_quantity", "source_raw_record_id", *(name for name in ("report_date_local",) if name in usage.columns),
     )
     none = F.lit(None)
     kinds = F.array(
@@ -339,7 +339,7 @@ def _carry_between_pieces(rows: DataFrame, merged: DataFrame, axis_cuts: DataFra
     )
 
 
-def _match_profit() -> Column:
+def match_profit() -> Column:
     """(close price - unit basis) x quantity for longs, the reverse for shorts."""
     opened, closed, matched = F.col("opened_by"), F.col("closed_by"), F.col("matched_quantity")
     gain = _amount(closed["price"], matched) - _amount(opened["price"], matched)
@@ -357,7 +357,7 @@ def lot_matches(fills: DataFrame, cuts: DataFrame | None = None) -> DataFrame:
         F.col("matched_quantity").cast(MONEY).alias("matched_quantity"),
         F.col("opened_by.price").cast(MONEY).alias("open_price"),
         F.col("closed_by.price").cast(MONEY).alias("close_price"),
-        _match_profit().cast(MONEY).alias("match_pnl"),
+        match_profit().cast(MONEY).alias("match_pnl"),
     )
 
 
@@ -367,7 +367,7 @@ def position_lots(fills: DataFrame, cuts: DataFrame | None = None) -> DataFrame:
     matched = F.col("closed_by").isNotNull()
     lots = segments.groupBy(*AXIS, F.col("opened_by.fill_id").alias("open_fill_id")).agg(
         F.any_value("opened_by").alias("o"),
-        F.sum(F.when(matched, _match_profit()).otherwise(_zero(AMOUNT))).cast(AMOUNT).alias("realized"),
+        F.sum(F.when(matched, match_profit()).otherwise(_zero(AMOUNT))).cast(AMOUNT).alias("realized"),
         F.max("closed_by.trade_timestamp_utc").alias("last_close"),
     )
     opened, left = F.col("o.open_quantity"), F.col("o.remaining_quantity")

@@ -578,7 +578,7 @@ def recon_diff(spark: SparkSession, folder: str) -> DataFrame:
 
 def provenance(spark: SparkSession, folder: str) -> DataFrame:
     events = merge.merge_trades(None, star.trade_raw(spark, folder), TRADE_ORDER).select("account_id", "ib_exec_id", "source_raw_record_id", "ingestion_run_id")
-    raw = tables_raw(spark, folder)
+    raw = tables_raw(spark, folder, "Trades")
     artifacts = raw.select("raw_artifact_id", "ingestion_run_id").groupBy("raw_artifact_id").agg(F.min("ingestion_run_id").alias("ingestion_run_id"))
     artifacts = artifacts.withColumn("payload_sha256", F.sha2("raw_artifact_id", 256))
     known = raw.select("ingestion_run_id").distinct().withColumn("status", F.lit("success"))
@@ -586,12 +586,28 @@ def provenance(spark: SparkSession, folder: str) -> DataFrame:
     return chain.select("account_id", "ib_exec_id", "source_raw_record_id", "source_row_ref", "raw_artifact_id", "payload_sha256", "artifact_run_id", "run_status")
 
 
-def tables_raw(spark: SparkSession, folder: str) -> DataFrame:
+def tables_raw(spark: SparkSession, folder: str, *sections: str) -> DataFrame:
     """Raw rows with the artifact (account and run) they came in."""
-    raw = star.raw_records(spark, folder).where(F.col("section_name") == "Trades")
+    raw = star.raw_records(spark, folder, with_payload=False).where(F.col("section_name").isin(*sections))
     return raw.withColumn("raw_artifact_id", F.concat_ws("/", "account_id", "ingestion_run_id"))
 
 
+def report_lineage(spark: SparkSession, folder: str) -> DataFrame:
+    """Every daily report row with the fills, closed lots and cash rows behind it, down to artifact and run."""
+    cash = merged_cashflows(spark, folder)
+    cash = cash.withColumns({"event_id": F.concat_ws("|", "transaction_id", "cash_action", "currency"), "source_raw_record_id": F.concat(F.lit("c"), "source_raw_record_id")})
+    events = stored(reports.contributions(star.fills(spark, folder), cash, _cuts(spark, folder)), "contributions")
+    report = events.select("account_id", "instrument_id", "report_date_local").distinct()
+    raw = tables_raw(spark, folder, "Trades", "CashTransactions")
+    artifacts = raw.groupBy("raw_artifact_id").agg(F.min("ingestion_run_id").alias("ingestion_run_id")).withColumn("payload_sha256", F.sha2("raw_artifact_id", 256))
+    known = raw.select("ingestion_run_id").distinct().withColumn("status", F.lit("success"))
+    chain = reports.lineage(report, events, raw, artifacts, known)
+    return chain.select(
+        "account_id", "instrument_id", "report_date_local", "role", "event_id", "source_raw_record_id", "quantity", "amount",
+        "section_name", "source_row_ref", "raw_artifact_id", "artifact_run_id", "run_status",
+    )
+
+
 def drilldown(spark: SparkSession, folder: str) -> DataFrame:
     events = star.first_executions(star.trade_raw(spark, folder)).select("account_id", "instrument_id", "ib_exec_id", "quantity", "side")
     found = reports.drilldown(star.labels(spark, folder), star.instruments(spark, folder), events)
@@ -707,7 +723,7 @@ QUERIES = {
         snapshot_list, snapshot_json, run_state, run_list, run_filters, instrument_list, note_list, timeline_last_stage,
         missing_sections, canonical_details, error_codes, latest_run, slo_success_rate, slo_p95, retention_split, dq_rules,
         eod_mark, fx_fallback, corp_action_class, provisional_scope, pnl_by_instrument, pnl_by_label, group_summary, label_rollup,
-        recon_diff, provenance, drilldown, csv_contract,
+        recon_diff, provenance, report_lineage, drilldown, csv_contract,
         stream_ingest, stream_corrections, stream_dedupe, stream_stage_window, stream_fifo, stream_fifo_state,
     )
 }

@@ -732,6 +732,17 @@ def oracle_queries() -> dict[str, str]:
             FROM firsts JOIN (SELECT source_raw_record_id, row_ref FROM trade_rows) USING (source_raw_record_id)""",
             "firsts", "trade_rows",
         ),
+        "report_lineage": _with(
+            f"""SELECT e.*, section_name, row_ref AS source_row_ref, r.account_id || '/' || r.ingestion_run_id AS raw_artifact_id, r.ingestion_run_id AS artifact_run_id, 'success' AS run_status FROM (
+              SELECT account_id, instrument_id, report_date_local, 'closed' AS role, fill_id AS event_id, source_raw_record_id, CAST(close_q AS {D}) AS quantity, CAST(-unit_fee * close_q AS {D}) AS amount FROM closes
+              UNION ALL SELECT p.account_id, p.instrument_id, c.report_date_local, 'closed_lot', o.fill_id, o.source_raw_record_id, CAST(sum(p.m) AS {D}), CAST(sum(p.pnl) AS {D}) FROM match_pnl p
+                JOIN closes c ON c.account_id = p.account_id AND c.fill_id = p.close_fill_id JOIN opens o ON o.account_id = p.account_id AND o.fill_id = p.open_fill_id GROUP BY ALL
+              UNION ALL SELECT account_id, instrument_id, report_date_local, 'opened', fill_id, source_raw_record_id, CAST(open_q AS {D}), 0 FROM opens
+              UNION ALL SELECT account_id, instrument_id, report_date_local, 'cash', concat_ws('|', transaction_id, cash_action, currency), 'c' || source_raw_record_id, NULL, CAST(-coalesce(fees, 0) - coalesce(withholding_tax, 0) AS {D}) FROM cash_merged WHERE instrument_id IS NOT NULL) e
+            JOIN (SELECT source_raw_record_id AS id, account_id, ingestion_run_id, 'Trades' AS section_name, row_ref FROM trade_rows
+              UNION ALL SELECT 'c' || source_raw_record_id, account_id, ingestion_run_id, 'CashTransactions', row_ref FROM cash_rows) r ON r.id = e.source_raw_record_id""",
+            "opens", "closes", "match_pnl", "cash_merged", "trade_rows", "cash_rows",
+        ),
         "drilldown": _with(
             f"SELECT label_name, symbol, account_id, count(*) AS event_count, CAST(sum(quantity) AS {D}) AS quantity FROM firsts f JOIN instruments i USING (instrument_id) JOIN labels USING (instrument_id) GROUP BY ALL",
             "firsts", "instruments", "labels",

@@ -298,9 +298,10 @@ def notes(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def raw_records(spark: SparkSession, folder: str) -> DataFrame:
+def raw_records(spark: SparkSession, folder: str, with_payload: bool = True) -> DataFrame:
     """Raw rows as a statement would hold them: trades from line items, cash rows from events,
-    rates and corporate actions from orders; some with faults, no-value texts or other tags."""
+    rates and corporate actions from orders; some with faults, no-value texts or other tags.
+    Without payloads the rows have none of their columns computed."""
     text = lambda value: value.cast("string")
     salt = F.conv(F.substring("source_raw_record_id", 1, 4), 16, 10).cast("int")
     t = trade_raw(spark, folder).withColumn("salt", salt)
@@ -373,7 +374,7 @@ def raw_records(spark: SparkSession, folder: str) -> DataFrame:
         "report_date_local", action_payload.alias("source_payload"), F.col("report_date_local").cast("timestamp_ntz").alias("created_at_utc"),
     )
     # each payload is made once: lookups of its keys stay above the generator
-    whole = lambda rows: rows.select(F.inline(F.array(F.struct("*"))))
+    whole = lambda rows: rows.select(F.inline(F.array(F.struct("*")))) if with_payload else rows.drop("source_payload")
     return whole(trades).unionByName(whole(cash)).unionByName(whole(fx)).unionByName(whole(actions))
 
 
