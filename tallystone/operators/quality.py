@@ -58,6 +58,9 @@ def table_rules() -> dict[str, tuple[Rule, ...]]:
     """Row rules of each table."""
     return {
         "ingestion_run": (one_of("status", RUN_STATUSES), one_of("run_type", RUN_TYPES)),
+        "raw_artifact": (not_blank("account_id"), is_iso_date("period_key"), not_blank("flex_query_id"), not_blank("payload_sha256")),
+        "raw_record": (not_blank("section_name"), not_blank("source_row_ref")),
+        "instrument": (not_blank("account_id"), not_blank("conid"), not_blank("asset_category"), not_blank("currency")),
         "event_trade_fill": (
             one_of("side", SIDES), not_blank("account_id"), not_blank("ib_exec_id"),
             within_unit_range("quantity"), within_unit_range("price"),
@@ -91,6 +94,26 @@ def unique_rule(df: DataFrame, table: str, keys: Sequence[str]) -> DataFrame:
     return _report(total.withColumn("rule", F.lit("unique_" + "_".join(keys))), table)
 
 
+def unique_rules(df: DataFrame, table: str, keys: Sequence[Sequence[str]]) -> DataFrame:
+    """``unique_rule`` of several keys of a table at once: one grouping set per key, one shuffle for all."""
+    names = list(dict.fromkeys(name for key in keys for name in key))
+    by_set = df.select(*names).groupingSets([list(key) for key in keys], *names).agg(F.count(F.lit(1)).alias("_rows"), *(F.grouping(name).alias(f"_{name}") for name in names))
+    number = F.lit(None).cast("int")
+    for i, key in reversed(list(enumerate(keys))):
+        here = F.lit(True)
+        for name in names:
+            here &= F.col(f"_{name}") == (0 if name in key else 1)
+        number = F.when(here, i).otherwise(number)
+    known = F.lit(True)
+    for name in names:
+        known &= (F.col(f"_{name}") == 1) | F.col(name).isNotNull()
+    surplus = by_set.where(known).groupBy(number.alias("i")).agg(F.sum(F.col("_rows") - 1).alias("found"))
+    rules = F.array(*(F.struct(F.lit(i).alias("i"), F.lit("unique_" + "_".join(key)).alias("rule")) for i, key in enumerate(keys)))
+    every = df.sparkSession.range(1).select(F.inline(rules))
+    total = every.join(surplus, "i", "left").select("rule", F.coalesce("found", F.lit(0).cast("bigint")).alias("violation_count"))
+    return _report(total, table)
+
+
 def reference_rule(df: DataFrame, table: str, column: str, parent: DataFrame, parent_column: str) -> DataFrame:
     """Rows whose reference is missing in the parent. Counted per distinct value first, so one
     value that most rows share is one row in the join."""

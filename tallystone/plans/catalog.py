@@ -495,20 +495,46 @@ def retention_split(spark: SparkSession, folder: str) -> DataFrame:
     return split.groupBy("retention_class", "archive_month").agg(F.count(F.lit(1)).alias("event_count"), F.min("at_utc").alias("first_at"), F.max("at_utc").alias("last_at"))
 
 
+def _flawed_lots(spark: SparkSession, folder: str) -> DataFrame:
+    """Lots as orders would have them, some with a number for an id, less than nothing left or a state of their own."""
+    key = F.col("o_orderkey")
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    return star.table(spark, folder, "orders").select(
+        F.when(key % 13 == 0, key.cast("string")).otherwise(ids.lot_id(F.col("o_custkey").cast("string"), (key % 500).cast("string"), day)).alias("position_lot_id"),
+        F.when(key % 17 == 0, "pending").when(key % 2 == 0, "open").otherwise("closed").alias("status"),
+        F.when(key % 19 == 0, -1).otherwise(key % 7).cast(text.MONEY).alias("remaining_quantity"),
+    )
+
+
+def _flawed_artifacts(spark: SparkSession, folder: str) -> DataFrame:
+    """Statement files, some filed under no real date, without a query or without a hash."""
+    key = F.col("o_orderkey")
+    return star.table(spark, folder, "orders").select(
+        F.concat(F.lit("U"), (F.col("o_custkey") % 3).cast("string")).alias("account_id"),
+        F.when(key % 23 == 0, "2026-02-30").when(key % 29 == 0, F.date_format("o_orderdate", "yyyyMMdd")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("period_key"),
+        F.when(key % 31 == 0, " ").otherwise("q1").alias("flex_query_id"),
+        F.when(key % 37 == 0, F.lit(None)).otherwise(F.sha2((key % 50).cast("string"), 256)).alias("payload_sha256"),
+    )
+
+
 def dq_rules(spark: SparkSession, folder: str) -> DataFrame:
-    trades = star.trade_raw(spark, folder)
-    known = star.instruments(spark, folder)
-    cash, actions, notes = star.cashflow_raw(spark, folder), star.corp_action_raw(spark, folder), star.notes(spark, folder)
-    states = run_state(spark, folder)
+    """Every row rule, every natural key and the references, on views that break some of them."""
+    trades, known = star.trade_raw(spark, folder), star.instruments(spark, folder)
+    cash, actions, rates = star.cashflow_raw(spark, folder), star.corp_action_raw(spark, folder), star.fx_raw(spark, folder)
+    raw = star.raw_records(spark, folder, with_payload=False).withColumns({"raw_artifact_id": F.concat_ws("/", "account_id", "ingestion_run_id"), "statement_index": F.lit(0)})
+    snapshots = trades.select("account_id", "report_date_local", "instrument_id")
+    instruments = star.instrument_requests(spark, folder)
+    checked = {
+        "event_trade_fill": trades, "event_cashflow": cash, "event_fx": rates, "event_corp_action": actions, "note": star.notes(spark, folder), "ingestion_run": run_state(spark, folder),
+        "position_lot": _flawed_lots(spark, folder), "raw_artifact": _flawed_artifacts(spark, folder), "raw_record": raw, "instrument": instruments, "pnl_snapshot_daily": snapshots,
+    }
+    keys = {table: [key] for table, key in NATURAL_KEYS.items()}
+    keys["event_corp_action"] = [["account_id", "action_id"], ["account_id", "transaction_id"]]
+    keys["event_trade_fill"] = [*keys["event_trade_fill"], ["account_id", "source_raw_record_id"]]
     rules = quality.table_rules()
     return quality.combined(
-        quality.row_rules(trades, "event_trade_fill", rules["event_trade_fill"]),
-        quality.row_rules(cash, "event_cashflow", rules["event_cashflow"]),
-        quality.row_rules(actions, "event_corp_action", rules["event_corp_action"]),
-        quality.row_rules(notes, "note", rules["note"]),
-        quality.row_rules(states, "ingestion_run", rules["ingestion_run"]),
-        quality.unique_rule(trades, "event_trade_fill", ["account_id", "ib_exec_id"]),
-        quality.unique_rule(actions, "event_corp_action", ["account_id", "action_id"]),
+        *(quality.row_rules(checked[table], table, rules[table]) for table in rules),
+        *(quality.unique_rules(checked[table], table, keys[table]) for table in keys),
         quality.reference_rule(cash, "event_cashflow", "instrument_id", known.where("active"), "instrument_id"),
         quality.reference_rule(trades, "event_trade_fill", "instrument_id", known, "instrument_id"),
     )
@@ -645,6 +671,39 @@ def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
     return raw.select(F.lit("raw").alias("kind"), "*").unionByName(bad.select(F.lit("rejected").alias("kind"), "*"))
 
 
+_RUN_COLUMNS = (
+    "run_id", "run_type", "status", "error_code", "rejected_count", "raw_record_count", "raw_deduplicated_count", "canonical_input_row_count",
+    "canonical_violation_row_count", "instrument_upsert_count", "trade_fill_count", "cashflow_count", "fx_count", "corp_action_count", "canonical_skip_reason",
+)
+
+
+def _monthly(spark: SparkSession, folder: str) -> DataFrame:
+    """The statements of all orders, filed by month."""
+    payloads = star.statement_payloads(star.table(spark, folder, "orders"))
+    return stored(payloads.withColumn("period_key", F.date_format(F.trunc("created_at_utc", "MM"), "yyyy-MM-dd")), "payloads")
+
+
+def ingest_job(spark: SparkSession, folder: str) -> DataFrame:
+    """Run records of three runs over all statements: a load, the same once more, and a strict one that lacks sections."""
+    store = Store(spark, scratch_path(spark, "ledger"), buckets=8)
+    payloads = _monthly(spark, folder)
+    for run in (jobs.Run("load", strict=False, require_sections=False), jobs.Run("again", strict=False, require_sections=False), jobs.Run("strict", run_type="scheduled")):
+        jobs.ingest(store, payloads, run)
+    lists = (F.array_join(name, ",").alias(name) for name in ("missing_sections", "missing_hard_required"))
+    return jobs.run_records(store).select(*_RUN_COLUMNS, *lists)
+
+
+def reprocess_job(spark: SparkSession, folder: str) -> DataFrame:
+    """Run records of a load and of a replay of its first account and month, and of a replay of no real month."""
+    store = Store(spark, scratch_path(spark, "ledger"), buckets=8)
+    jobs.ingest(store, _monthly(spark, folder), jobs.Run("load", strict=False, require_sections=False))
+    raw = store.read("raw_record", schemas.RAW_RECORD)
+    period, account = raw.agg(F.min(F.struct("period_key", "account_id"))).first()[0]
+    jobs.reprocess(store, account, period, "q1", jobs.Run("replay", strict=False))
+    jobs.reprocess(store, account, "1995-13-01", "q1", jobs.Run("no-month"))
+    return jobs.run_records(store).select("account_id", *_RUN_COLUMNS)
+
+
 def stream_corrections(spark: SparkSession, folder: str) -> DataFrame:
     """Cash rows month by month; repeated keys become corrections."""
     root = scratch_path(spark, "cash")
@@ -724,6 +783,6 @@ QUERIES = {
         missing_sections, canonical_details, error_codes, latest_run, slo_success_rate, slo_p95, retention_split, dq_rules,
         eod_mark, fx_fallback, corp_action_class, provisional_scope, pnl_by_instrument, pnl_by_label, group_summary, label_rollup,
         recon_diff, provenance, report_lineage, drilldown, csv_contract,
-        stream_ingest, stream_corrections, stream_dedupe, stream_stage_window, stream_fifo, stream_fifo_state,
+        ingest_job, reprocess_job, stream_ingest, stream_corrections, stream_dedupe, stream_stage_window, stream_fifo, stream_fifo_state,
     )
 }

@@ -657,17 +657,41 @@ def oracle_queries() -> dict[str, str]:
             "run_events",
         ),
         "dq_rules": _with(
-            """SELECT 'event_trade_fill' AS table_name, unnest(['side_allowed', 'account_id_not_blank', 'ib_exec_id_not_blank', 'quantity_in_range', 'price_in_range']) AS rule, 0 AS violation_count
+            """, lots_of_orders AS (SELECT CASE WHEN o_orderkey % 13 = 0 THEN CAST(o_orderkey AS VARCHAR) ELSE o_custkey || ':' || o_orderkey % 500 || ':' || strftime(o_orderdate, '%Y-%m-%d') END AS id, o_orderkey FROM orders),
+            files AS (SELECT o_custkey % 3 AS a, CASE WHEN o_orderkey % 23 = 0 THEN '2026-02-30' WHEN o_orderkey % 29 = 0 THEN strftime(o_orderdate, '%Y%m%d') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS p,
+              o_orderkey % 31 = 0 AS q, o_orderkey % 50 AS h, o_orderkey FROM orders),
+            raw AS (SELECT account_id, ingestion_run_id, 'Trades' AS s, row_ref FROM trade_rows UNION ALL SELECT account_id, ingestion_run_id, 'CashTransactions', row_ref FROM cash_rows
+              UNION ALL SELECT account_id, ingestion_run_id, 'ConversionRates', row_ref FROM fx_rows UNION ALL SELECT account_id, ingestion_run_id, 'CorporateActions', row_ref FROM action_rows)
+            SELECT 'event_trade_fill' AS table_name, unnest(['side_allowed', 'account_id_not_blank', 'ib_exec_id_not_blank', 'quantity_in_range', 'price_in_range']) AS rule, 0 AS violation_count
             UNION ALL SELECT 'event_cashflow', unnest(['account_id_not_blank', 'transaction_id_not_blank', 'cash_action_not_blank', 'currency_not_blank']), 0
+            UNION ALL SELECT 'event_fx', unnest(['account_id_not_blank', 'transaction_id_not_blank', 'currency_not_blank', 'functional_currency_not_blank']), 0
+            UNION ALL SELECT 'instrument', unnest(['account_id_not_blank', 'conid_not_blank', 'asset_category_not_blank', 'currency_not_blank']), 0
+            UNION ALL SELECT 'raw_record', unnest(['section_name_not_blank', 'source_row_ref_not_blank']), 0
             UNION ALL SELECT 'event_corp_action', 'action_id_or_transaction_id_present', count(*) FROM actions_raw WHERE action_id IS NULL AND transaction_id IS NULL
             UNION ALL SELECT 'note', 'instrument_id_or_label_id_present', count(*) FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 4 <> 0
             UNION ALL SELECT 'ingestion_run', unnest(['status_allowed', 'run_type_allowed']), 0
+            UNION ALL SELECT 'position_lot', 'status_allowed', count(*) FROM lots_of_orders WHERE o_orderkey % 17 = 0
+            UNION ALL SELECT 'position_lot', 'remaining_quantity_not_negative', count(*) FROM lots_of_orders WHERE o_orderkey % 19 = 0
+            UNION ALL SELECT 'position_lot', 'position_lot_id_is_uuid', count(*) FROM lots_of_orders WHERE o_orderkey % 13 = 0
+            UNION ALL SELECT 'raw_artifact', 'account_id_not_blank', 0
+            UNION ALL SELECT 'raw_artifact', 'period_key_is_date', count(*) FROM files WHERE o_orderkey % 23 = 0 OR o_orderkey % 29 = 0
+            UNION ALL SELECT 'raw_artifact', 'flex_query_id_not_blank', count(*) FROM files WHERE q
+            UNION ALL SELECT 'raw_artifact', 'payload_sha256_not_blank', count(*) FROM files WHERE o_orderkey % 37 = 0
+            UNION ALL SELECT 'raw_artifact', 'unique_account_id_period_key_flex_query_id_payload_sha256', count(*) - count(DISTINCT (a, p, q, h)) FROM files WHERE o_orderkey % 37 <> 0
+            UNION ALL SELECT 'raw_record', 'unique_raw_artifact_id_section_name_source_row_ref_statement_index', count(*) - count(DISTINCT (account_id, ingestion_run_id, s, row_ref)) FROM raw
+            UNION ALL SELECT 'instrument', 'unique_account_id_conid', count(*) - count(DISTINCT (account_id, instrument_id)) FROM trade_raw
+            UNION ALL SELECT 'pnl_snapshot_daily', 'unique_account_id_report_date_local_instrument_id', count(*) - count(DISTINCT (account_id, report_date_local, instrument_id)) FROM trade_raw
+            UNION ALL SELECT 'position_lot', 'unique_position_lot_id', count(*) - count(DISTINCT id) FROM lots_of_orders
+            UNION ALL SELECT 'event_fx', 'unique_account_id_transaction_id_currency_functional_currency', count(*) - count(DISTINCT (account_id, transaction_id, currency)) FROM fx_raw
+            UNION ALL SELECT 'event_cashflow', 'unique_account_id_transaction_id_cash_action_currency', count(*) - count(DISTINCT (account_id, transaction_id, cash_action, currency)) FROM cash_raw
             UNION ALL SELECT 'event_trade_fill', 'unique_account_id_ib_exec_id', count(*) - count(DISTINCT (account_id, ib_exec_id)) FROM trade_raw
+            UNION ALL SELECT 'event_trade_fill', 'unique_account_id_source_raw_record_id', count(*) - count(DISTINCT (account_id, source_raw_record_id)) FROM trade_raw
             UNION ALL SELECT 'event_corp_action', 'unique_account_id_action_id', count(*) - count(DISTINCT (account_id, action_id)) FROM actions_raw WHERE action_id IS NOT NULL
+            UNION ALL SELECT 'event_corp_action', 'unique_account_id_transaction_id', count(*) - count(DISTINCT (account_id, transaction_id)) FROM actions_raw WHERE transaction_id IS NOT NULL
             UNION ALL SELECT 'event_cashflow', 'instrument_id_exists', count(*) FROM cash_raw WHERE instrument_id IS NOT NULL AND instrument_id NOT IN (SELECT instrument_id FROM instruments WHERE active)
             UNION ALL SELECT 'event_trade_fill', 'instrument_id_exists', count(*) FROM trade_raw WHERE instrument_id NOT IN (SELECT instrument_id FROM instruments)""",
-            "trade_raw", "actions_raw", "cash_raw", "instruments",
-        ),
+            "trade_raw", "actions_raw", "cash_raw", "instruments", "fx_raw", "trade_rows", "cash_rows", "fx_rows", "action_rows",
+        ).replace(" , lots_of_orders", ", lots_of_orders", 1),
         "eod_mark": _with(
             f"""WITH asked AS (SELECT DISTINCT account_id, instrument_id, unnest([report_date_local, last_day(report_date_local), last_day(report_date_local) - 31]) AS report_date_local FROM firsts),
             ranked AS (SELECT account_id, instrument_id, report_date_local, price, CASE WHEN fx_rate_to_base IS NOT NULL AND net_cash IS NOT NULL THEN price + 1 END AS close_price,
@@ -784,6 +808,28 @@ def oracle_queries() -> dict[str, str]:
     views, body = xml.split(") SELECT payload_id, r.s", 1)
     sqls["stream_ingest"] = f"""{views}), rows AS (SELECT payload_id, r.s{body}) SELECT 'raw' AS kind, section_name AS name, count(*) AS row_count FROM rows GROUP BY ALL
         UNION ALL SELECT 'rejected', reason, count(*) FROM statement_rows WHERE reason IS NOT NULL GROUP BY ALL"""
+    # A good statement has an empty section of cash rows, and most of rates: each is one row that breaks the contract.
+    faulty = "1 + CASE WHEN o_orderkey % 4 <> 0 THEN 1 ELSE 0 END"
+    hard = "['AccountInformation', 'CashTransactions', 'ConversionRates', 'CorporateActions', 'OpenPositions', 'SecuritiesInfo', 'Trades']"
+    tables = f"""{views}), rows AS (SELECT payload_id, r.s{body}), good AS (SELECT *, {faulty} AS faulty FROM statement_rows WHERE reason IS NULL),
+        total AS (SELECT (SELECT count(*) FROM rows) AS n, (SELECT count(*) FROM statement_rows WHERE reason IS NOT NULL) AS bad, (SELECT sum(faulty) FROM good)::BIGINT AS faulty)"""
+    zeros = "0::BIGINT AS instrument_upsert_count, 0::BIGINT AS trade_fill_count, 0::BIGINT AS cashflow_count, 0::BIGINT AS fx_count, 0::BIGINT AS corp_action_count"
+    no = "NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT"
+    load = f"""'load' AS run_id, 'manual' AS run_type, 'success' AS status, NULL::VARCHAR AS error_code, bad AS rejected_count, n AS raw_record_count, 0::BIGINT AS raw_deduplicated_count,
+        n AS canonical_input_row_count, faulty AS canonical_violation_row_count, {zeros}, NULL::VARCHAR AS canonical_skip_reason"""
+    present = _VIEWS["sections"][0]
+    sqls["ingest_job"] = f"""{tables}, present AS ({present}),
+        lacking AS (SELECT payload_id, list_filter({hard}, lambda s: NOT list_contains(present, s)) AS missing FROM present),
+        first_lacking AS (SELECT array_to_string(missing, ',') AS m FROM lacking WHERE len(missing) > 0 ORDER BY payload_id LIMIT 1)
+        SELECT {load}, '' AS missing_sections, '' AS missing_hard_required FROM total
+        UNION ALL SELECT 'again', 'manual', 'success', NULL, bad, 0, n, 0, NULL, {no}, 'no_new_raw_rows_for_run', '', '' FROM total
+        UNION ALL SELECT 'strict', 'scheduled', 'failed', 'MISSING_REQUIRED_SECTION', NULL, NULL, NULL, NULL, NULL, {no}, NULL, m, m FROM first_lacking"""
+    sqls["reprocess_job"] = f"""{tables}, filed AS (SELECT *, strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS period, 'U' || (o_custkey % 3) AS account FROM good),
+        one AS (SELECT account, period FROM filed ORDER BY period, account LIMIT 1), part AS (SELECT f.* FROM filed f JOIN one USING (account, period))
+        SELECT NULL::VARCHAR AS account_id, {load} FROM total
+        UNION ALL SELECT account, 'replay', 'reprocess', 'success', NULL, NULL, NULL, NULL, (SELECT count(*) FROM rows WHERE payload_id IN (SELECT payload_id FROM part)),
+          (SELECT sum(faulty) FROM part)::BIGINT, 0, 0, 0, 0, 0, NULL FROM one
+        UNION ALL SELECT account, 'no-month', 'reprocess', 'failed', 'REPROCESS_CONTRACT_ERROR', NULL, NULL, NULL, NULL, NULL, {no}, NULL FROM one"""
     return sqls
 
 

@@ -165,3 +165,13 @@ def test_only_listed_corporate_actions_go_without_a_person(spark):
     clear = corporate.classify(rows, F.lit(True))
     assert {r.reorg_code for r in clear.where(~F.col("requires_manual")).collect()} == {"FS", "rs ", "SD", "CD"}
     assert corporate.classify(rows).where(~F.col("requires_manual")).isEmpty()
+
+
+def test_keys_of_a_table_in_one_pass_equal_them_one_by_one(spark):
+    rows = [(1, "a", None), (1, "a", 5), (1, None, 5), (None, "a", 5), (2, "b", 6), (2, "b", 6), (1, "a", 5)]
+    df = spark.createDataFrame(rows, "k int, n string, v int")
+    keys = [["k", "n"], ["v"], ["k", "v"], ["n", "k", "v"]]
+    one_by_one = quality.combined(*(quality.unique_rule(df, "t", key) for key in keys))
+    assert sorted(map(tuple, quality.unique_rules(df, "t", keys).collect())) == sorted(map(tuple, one_by_one.collect()))
+    empty = quality.unique_rules(df.limit(0), "t", keys).collect()
+    assert sorted((r.rule, r.violation_count) for r in empty) == sorted(("unique_" + "_".join(key), 0) for key in keys)
