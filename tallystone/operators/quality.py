@@ -89,8 +89,8 @@ def unique_rule(df: DataFrame, table: str, keys: Sequence[str]) -> DataFrame:
     known = df
     for key in keys:
         known = known.where(F.col(key).isNotNull())
-    surplus = known.groupBy(*keys).agg((F.count(F.lit(1)) - 1).alias("n"))
-    total = surplus.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("violation_count"))
+    surplus = known.groupBy(*keys).agg((F.count(F.lit(1)) - 1).alias("_surplus"))
+    total = surplus.agg(F.coalesce(F.sum("_surplus"), F.lit(0)).alias("violation_count"))
     return _report(total.withColumn("rule", F.lit("unique_" + "_".join(keys))), table)
 
 
