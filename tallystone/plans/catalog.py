@@ -11,7 +11,7 @@ from tallystone.functions import dates, ids, text, timeline
 from tallystone.operators import corporate, export, fallback, fifo, listing, mapping, merge, preflight, quality, reports, runs, series, snapshot
 from tallystone.operators.scan import split_points
 from tallystone import schemas
-from tallystone.plans import jobs
+from tallystone.plans import jobs, publish
 from tallystone.plans.store import Store
 from tallystone.schemas import NATURAL_KEYS
 from tallystone.session import scratch_path, stored
@@ -132,6 +132,16 @@ def snapshot_series_split(spark: SparkSession, folder: str) -> DataFrame:
     return series.snapshot_series(fills, tables.cashflows(merged_cashflows(spark, folder)), valuation_latest(spark, folder), SERIES_DATES, "run-1", _cuts(spark, folder, min_rows=SPLIT_ROWS))
 
 
+def snapshot_publish(spark: SparkSession, folder: str) -> DataFrame:
+    """Snapshots published date by date, one date first with wrong amounts and then again, read back for a range of dates."""
+    path, rows = scratch_path(spark, "snapshots"), stored(snapshot_series(spark, folder), "series")
+    wrong = rows.where(F.col("report_date_local") == SERIES_DATES[2]).withColumn("realized_pnl", F.col("realized_pnl") + 1).where(F.col("account_id") != "U1")
+    publish.publish_days(wrong.select(*rows.columns), path)
+    for day in (SERIES_DATES[1], SERIES_DATES[0], *SERIES_DATES[2:], SERIES_DATES[1]):
+        publish.publish_days(rows.where(F.col("report_date_local") == day), path)
+    return publish.published_days(spark, path, first=SERIES_DATES[1], last=SERIES_DATES[3])
+
+
 def _as_fills(df: DataFrame) -> DataFrame:
     return df.withColumns(
         {"fill_id": F.col("ib_exec_id"), "fees": fifo.trade_fee(F.col("fees"), F.col("commission"))}
@@ -774,7 +784,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         fifo_realized, fifo_realized_split, fifo_uneven_fees, fifo_position, fifo_open_lots, fifo_matches, fifo_matches_split, position_lots, lot_ids, last_price, fifo_unrealized_at_mark,
-        open_cost_basis, fees_by_instrument, cash_totals, valuation_latest, snapshot_daily, snapshot_series, snapshot_series_split, snapshot_counters,
+        open_cost_basis, fees_by_instrument, cash_totals, valuation_latest, snapshot_daily, snapshot_series, snapshot_series_split, snapshot_publish, snapshot_counters,
         trade_merge, cashflow_merge, fx_merge, corp_action_merge, instrument_merge, raw_dedupe_counts, artifact_dedupe,
         map_trades, map_cashflows, map_fx, map_corp_actions, map_violations, row_tag_route, batch_counters, resolved_events,
         xml_rows, xml_rejected, statement_dates, required_sections,

@@ -801,6 +801,7 @@ def oracle_queries() -> dict[str, str]:
     days = ("1993-06-30", "1995-12-31", "1996-12-31", "1998-03-31", "2001-12-31")
     sqls["snapshot_series"] = f"WITH every_net AS ({_with('SELECT * FROM net', 'net')}) " + " UNION ALL ".join(f"SELECT * FROM ({until(day)})" for day in days)
     sqls["snapshot_series_split"] = sqls["snapshot_series"]
+    sqls["snapshot_publish"] = f"SELECT * FROM ({sqls['snapshot_series']}) WHERE report_date_local BETWEEN DATE '1995-12-31' AND DATE '1998-03-31'"
     sqls["stream_fifo_state"] = sqls["fifo_uneven_fees"]
     for name in ("fifo_realized", "fifo_matches"):
         sqls[f"{name}_split"] = sqls[name]
