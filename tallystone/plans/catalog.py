@@ -204,7 +204,7 @@ def instrument_merge(spark: SparkSession, folder: str) -> DataFrame:
 
 def raw_dedupe_counts(spark: SparkSession, folder: str) -> DataFrame:
     keys = ["account_id", "section_name", "source_row_ref"]
-    rows = star.raw_records(spark, folder).select(*keys, "ingestion_run_id", "raw_record_id", "created_at_utc")
+    rows = star.raw_records(spark, folder, with_payload=False).select(*keys, "ingestion_run_id", "raw_record_id", "created_at_utc")
     first, rest = _loads(rows, "created_at_utc")
     return merge.insert_counts(first, rest, keys, by=["section_name"])
 
