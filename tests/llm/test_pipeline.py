@@ -57,4 +57,4 @@ def test_each_stage_on_what_the_one_before_kept(spark):
 def test_run_and_registry(spark):
     assert corpus_pipeline.run(spark, SMALL).count() > 0
     assert sorted(registry.queries()) == sorted(["pipeline", *(n for n in registry.queries() if n.startswith("op"))])
-    assert {int(n[2:].split("_")[0]) for n in registry.queries() if n.startswith("op")} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in registry.queries() if n.startswith("op")} == set(range(1, 14))
