@@ -7,9 +7,10 @@ documents' shingles are joined to these prefixes only; a match fixes where the w
 which must leave room for the whole window (length and positional bounds), and then the words
 themselves are compared.
 
-The benchmark's windows are broadcast in blocks of BLOCK rows: one pass over the documents per
-block, one block for any benchmark of usual size. No document row is shuffled before the match;
-what is matched is grouped by document.
+The benchmark's windows are numbered and broadcast in blocks of BLOCK rows of bounded width: one pass over the
+documents per block, one block for any benchmark of usual size. Which items hold a window stays in a table of
+its own, however many they are; it is joined to the distinct (document, window number) pairs. No document row
+is shuffled before the match; what is matched is grouped by document.
 
 Cases: a null or wordless text has no words and is clean; an item without words has no windows;
 items without an id count as the item ''; repeated items are one; rows that repeat both id and
@@ -29,7 +30,7 @@ from tallystone.session import stored
 
 WINDOW = 10
 SHINGLE = 3
-BLOCK = 100_000  # rows of (window, items) that are broadcast at a time
+BLOCK = 100_000  # windows that are broadcast at a time
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BETWEEN = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -48,13 +49,12 @@ def _shingles(words: Column, k: int) -> Column:
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """(window, k, items): distinct windows, the shingle length that fits them, and their item ids."""
+    """(item, number, window): distinct windows of each item, numbered by a hash of their words."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), words_of(F.col("text")).alias("words"))
     n = F.size("words")
     starts = F.sequence(F.lit(1), F.greatest(n - (WINDOW - 1), F.lit(1)))
     windows = items.where(n > 0).select("item", F.explode(F.transform(starts, lambda i: F.slice(F.col("words"), i, WINDOW))).alias("window"))
-    sets = windows.groupBy("window").agg(F.collect_set("item").alias("items"))
-    return sets.withColumn("k", F.least(F.size("window"), F.lit(SHINGLE)))
+    return windows.select("item", F.xxhash64("window").alias("number"), "window").distinct()
 
 
 def _places(docs: DataFrame, k: int) -> DataFrame:
@@ -65,29 +65,33 @@ def _places(docs: DataFrame, k: int) -> DataFrame:
     return words.withColumn("hashes", _shingles(F.col("words"), k)).select("id", "h", "words", F.posexplode_outer("hashes").alias("at", "token"))
 
 
-def occurrences(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(id, h, start, length, items): each place where a window stands in a document."""
-    windows = stored(item_windows(benchmark).withColumn("number", F.xxhash64("window")), "windows")
+def distinct_windows(of_items: DataFrame) -> DataFrame:
+    """(number, window, k): windows and the shingle length that fits them, one row each."""
+    return of_items.select("number", "window").distinct().withColumn("k", F.least(F.size("window"), F.lit(SHINGLE)))
+
+
+def occurrences(docs: DataFrame, windows: DataFrame) -> DataFrame:
+    """(id, h, start, window, number): each place where one of the distinct windows stands in a document."""
     sizes = {r["k"]: r["n"] for r in windows.groupBy("k").agg(F.count("k").alias("n")).collect()}
     blocks = [(k, b, -(-n // BLOCK)) for k, n in sorted(sizes.items()) for b in range(-(-n // BLOCK))]
     found = []
     for k, block, of in blocks:
         part = windows.where((F.col("k") == k) & (F.pmod("number", F.lit(of)) == block))
-        tokens = part.select("number", "window", "items", F.posexplode(_shingles(F.col("window"), k)).alias("offset", "token"))
+        tokens = part.select("number", "window", F.posexplode(_shingles(F.col("window"), k)).alias("offset", "token"))
         frequency = (
             _places(docs, k).join(F.broadcast(tokens.select("token").distinct()), "token", "left_semi").groupBy("token").agg(F.count("token").alias("n"))
         )
         # a shingle that stands nowhere rules its window out: it has no row here, and is the rarest
         rarity = F.struct(F.coalesce(F.col("n"), F.lit(0)).alias("n"), "offset", "token")
-        ranked = tokens.join(stored(frequency, "frequency"), "token", "left").groupBy("number", "window", "items").agg(F.min(rarity).alias("r"))
-        prefix = ranked.where("r.n > 0").select("window", "items", F.col("r.offset").alias("offset"), F.col("r.token").alias("token"))
+        ranked = tokens.join(stored(frequency, "frequency"), "token", "left").groupBy("number", "window").agg(F.min(rarity).alias("r"))
+        prefix = ranked.where("r.n > 0").select("number", "window", F.col("r.offset").alias("offset"), F.col("r.token").alias("token"))
         start, length = F.col("at") - F.col("offset"), F.size("window")
         fits = (start >= 0) & (start + length <= F.size("words"))
         matched = _places(docs, k).join(F.broadcast(prefix), "token").where(fits)
         same = F.slice(F.col("words"), F.greatest(start, F.lit(0)) + 1, length) == F.col("window")
-        found.append(matched.where(same).select("id", "h", start.alias("start"), length.alias("length"), "items"))
+        found.append(matched.where(same).select("id", "h", start.alias("start"), "window", "number"))
     if not found:
-        nothing = "id bigint, h bigint, start int, length int, items array<string>"
+        nothing = "id bigint, h bigint, start int, window array<string>, number bigint"
         return docs.sparkSession.createDataFrame([], nothing)
     return reduce(DataFrame.unionByName, found)
 
@@ -98,10 +102,16 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(id, h, n_hit, found): documents with a window in them."""
-    spans = F.collect_set(F.struct("start", "length"))
-    by_document = occurrences(_keyed(docs), benchmark).groupBy("id", "h").agg(spans.alias("spans"), F.collect_set("items").alias("sets"))
-    places = F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1)))
-    return by_document.select("id", "h", F.size(F.array_distinct(places)).cast("long").alias("n_hit"), F.sort_array(F.array_distinct(F.flatten("sets"))).alias("found"))
+    of_items = stored(item_windows(benchmark), "windows")
+    found = stored(occurrences(_keyed(docs), stored(distinct_windows(of_items), "distinct_windows")), "found")
+    spans = found.groupBy("id", "h").agg(F.collect_set(F.struct("start", F.size("window").alias("length"))).alias("spans"))
+    covered = F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1)))
+    hit = spans.select("id", "h", F.size(F.array_distinct(covered)).cast("long").alias("n_hit"))
+    # a number stands for one window but for a clash of hashes, which the words settle
+    pairs = found.select("id", "h", "number", "window").distinct().join(of_items, ["number", "window"])
+    items = pairs.groupBy("id", "h").agg(F.sort_array(F.collect_set("item")).alias("found"))
+    same = F.col("x.id").eqNullSafe(F.col("y.id")) & (F.col("x.h") == F.col("y.h"))
+    return hit.alias("x").join(items.alias("y"), same).select("x.id", "x.h", "n_hit", "found")
 
 
 def judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -51,6 +51,23 @@ def test_equals_brute_force(spark, documents, monkeypatch, block):
     assert clean.columns == documents(texts).columns
 
 
+def test_a_window_of_many_items(spark, documents):
+    import random
+
+    rng = random.Random(9)
+    prompt = sentence(rng, 12)
+    texts = [f"{sentence(rng, 5)} {prompt} {sentence(rng, 5)}", sentence(rng, 30), prompt]
+    items = [(i, f"{prompt} {sentence(rng, 3)}") for i in range(400)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    of_items = q.item_windows(benchmark)
+    # what is broadcast has one row per window, of bounded width, however many items hold it
+    assert q.distinct_windows(of_items).where("size(window) > 10").count() == 0
+    shared = of_items.groupBy("number").count().where("count = 400")
+    assert shared.count() == 3 and q.distinct_windows(of_items).join(shared, "number").count() == 3
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in q.judged(documents(texts), benchmark).collect()}
+    assert got == brute(texts, items) and got[0][2] == got[2][2] == 400
+
+
 def test_empty_tables(spark, documents):
     benchmark = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     assert q.judged(documents(["a b c"]).limit(0), benchmark).collect() == []
