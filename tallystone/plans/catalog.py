@@ -15,7 +15,7 @@ from tallystone.plans import jobs, publish
 from tallystone.plans.store import Store
 from tallystone.schemas import NATURAL_KEYS
 from tallystone.session import scratch_path, stored
-from tallystone.sources import star, statements, tables
+from tallystone.sources import pieces, star, statements, tables
 from tallystone.streaming import incremental, lots, state
 
 TRADE_ORDER = ("trade_timestamp_utc", "source_raw_record_id")
@@ -302,6 +302,17 @@ def xml_rows(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("payload_id", "section_name", "source_row_ref", F.array_join(entries, ";").alias("attributes"))
 
 
+def statement_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Raw rows of files that hold a year of statements each, read in pieces of 1 MB (larger ones beyond 4 GB of files)."""
+    path = scratch_path(spark, "statement_files")
+    star.write_statement_files(star.table(spark, folder, "orders"), path)
+    size = spark.read.format("binaryFile").load(path).agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    rows = statements.raw_rows(statements.good_rows(pieces.parse_files(spark, path, max(1 << 20, size >> 12))))
+    entries = F.transform(F.array_sort(F.map_entries("source_payload")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    year = F.regexp_extract("payload_id", "/year=([0-9]+)/", 1).cast("int").alias("file_year")
+    return rows.select(year, "statement_index", "section_index", "source_row_ref", F.array_join(entries, ";").alias("attributes"))
+
+
 def xml_rejected(spark: SparkSession, folder: str) -> DataFrame:
     return statements.rejected_payloads(_parsed(spark, folder))
 
@@ -787,7 +798,7 @@ QUERIES = {
         open_cost_basis, fees_by_instrument, cash_totals, valuation_latest, snapshot_daily, snapshot_series, snapshot_series_split, snapshot_publish, snapshot_counters,
         trade_merge, cashflow_merge, fx_merge, corp_action_merge, instrument_merge, raw_dedupe_counts, artifact_dedupe,
         map_trades, map_cashflows, map_fx, map_corp_actions, map_violations, row_tag_route, batch_counters, resolved_events,
-        xml_rows, xml_rejected, statement_dates, required_sections,
+        xml_rows, xml_rejected, statement_files, statement_dates, required_sections,
         parse_dates, parse_timestamps, parse_decimals, optional_texts, business_date, business_date_range,
         snapshot_list, snapshot_json, run_state, run_list, run_filters, instrument_list, note_list, timeline_last_stage,
         missing_sections, canonical_details, error_codes, latest_run, slo_success_rate, slo_p95, retention_split, dq_rules,

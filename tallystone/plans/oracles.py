@@ -805,6 +805,13 @@ def oracle_queries() -> dict[str, str]:
     sqls["stream_fifo_state"] = sqls["fifo_uneven_fees"]
     for name in ("fifo_realized", "fifo_matches"):
         sqls[f"{name}_split"] = sqls[name]
+    sqls["statement_files"] = """SELECT file_year, statement_index, r.c AS section_index, r.ref AS source_row_ref, r.a AS attributes FROM (
+        SELECT year(o_orderdate)::INT AS file_year, (row_number() OVER (PARTITION BY year(o_orderdate) ORDER BY o_orderkey) - 1)::INT AS statement_index, unnest([
+            {'c': 0, 'ref': 'Trades:Trade:transactionID=' || o_orderkey, 'a': 'conid=' || o_custkey || ';currency=USD;transactionID=' || o_orderkey},
+            {'c': 0, 'ref': 'Trades:Lot:idx=2', 'a': 'currency=EUR;qty=1'},
+            {'c': 0, 'ref': 'Trades:Lot:idx=3', 'a': 'currency=ILS;qty=2'},
+            {'c': 1, 'ref': 'CashTransactions:section:1', 'a': 'note=none'},
+            CASE WHEN o_orderkey % 3 <> 0 THEN {'c': 2, 'ref': 'OpenPositions:OpenPosition:idx=1', 'a': 'conid=' || o_custkey} END]) AS r FROM orders) WHERE r IS NOT NULL"""
     xml = sqls["xml_rows"]
     views, body = xml.split(") SELECT payload_id, r.s", 1)
     sqls["stream_ingest"] = f"""{views}), rows AS (SELECT payload_id, r.s{body}) SELECT 'raw' AS kind, section_name AS name, count(*) AS row_count FROM rows GROUP BY ALL

@@ -407,3 +407,20 @@ def statement_payloads(order: DataFrame) -> DataFrame:
         F.lit("q1").alias("flex_query_id"),
         F.col("o_orderdate").alias("created_at_utc"),
     )
+
+
+def write_statement_files(order: DataFrame, path: str) -> None:
+    """One XML file of statements per order year below ``path``, a line each, in order of their keys."""
+    year, key, cust = F.year("o_orderdate").alias("year"), F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
+    positions = F.when(F.col("o_orderkey") % 3 != 0, F.concat(F.lit('<OpenPositions><OpenPosition conid="'), cust, F.lit('"/></OpenPositions>'))).otherwise("")
+    line = F.concat(
+        F.lit('<FlexStatement accountId="U'), (F.col("o_custkey") % 3).cast("string"), F.lit('" toDate="'), F.date_format("o_orderdate", "yyyyMMdd"),
+        F.lit('"><Trades currency="USD"><Trade transactionID="'), key, F.lit('" conid="'), cust,
+        F.lit('"/><Lots currency="EUR"><Lot qty="1"/><Lot qty="2" currency="ILS"/></Lots></Trades><CashTransactions note="none"/>'), positions, F.lit("</FlexStatement>"),
+    )
+    lines = order.select(year, F.lit(1).alias("part"), F.col("o_orderkey").alias("key"), line.alias("value"))
+    counts = order.groupBy(year).agg(F.count(F.lit(1)).cast("string").alias("n"))
+    head = F.concat(F.lit('<Response><FlexStatements count="'), "n", F.lit('">'))
+    ends = counts.select("year", F.inline(F.array(F.struct(F.lit(0).alias("part"), head.alias("value")), F.struct(F.lit(2).alias("part"), F.lit("</FlexStatements></Response>").alias("value")))))
+    rows = lines.unionByName(ends.withColumn("key", F.lit(0).cast(lines.schema["key"].dataType)))
+    rows.repartition("year").sortWithinPartitions("year", "part", "key").select("year", "value").write.partitionBy("year").text(path)
