@@ -4,7 +4,10 @@ from conftest import SMALL
 
 from pyspark.sql import functions as F
 
-from tallystone.plans import catalog
+from tallystone import schemas
+from tallystone.plans import catalog, jobs
+from tallystone.plans.store import Store
+from tallystone.session import scratch_path, stored
 from tallystone.sources import star
 
 
@@ -36,3 +39,15 @@ def test_arrivals_are_made_once(spark):
     rows = spark.range(90).select("id", day("id").alias("day"))
     seen = [feed.schema for feed in catalog._arrivals(rows, "day", ("2000-01-03", "2000-01-06"))]
     assert len(seen) == 3 and made.value == 90
+
+
+def test_raw_rows_are_written_once(spark, monkeypatch):
+    """A run publishes its raw rows and maps them from there; there were two scratch copies more of them."""
+    names = []
+    monkeypatch.setattr(jobs, "stored", lambda df, name: names.append(name) or stored(df, name))
+    store = Store(spark, scratch_path(spark, "ledger"), buckets=2)
+    payloads = star.statement_payloads(star.table(spark, SMALL, "orders").limit(40))
+    assert jobs.ingest(store, payloads, jobs.Run("load", strict=False, require_sections=False)) == "success"
+    assert not {"new_raw", "raw"} & set(names) and "parsed" in names
+    raw = store.read("raw_record", schemas.RAW_RECORD)
+    assert raw.count() > 0 and raw.select("raw_record_id").distinct().count() == raw.count()
