@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallystone.session import stored
-from tallystone.sources import statements as st
+# by name: a module that is referred to as a whole would be looked for on the workers
+from tallystone.sources.statements import EMPTY_PAYLOAD, MALFORMED_PAYLOAD, NAMESPACE, NO_STATEMENT, STATEMENT, STATEMENTS, _maps, _qualified
 
 OTHER_ENCODING = "the payload declares another encoding than UTF-8"
 
@@ -44,7 +45,7 @@ LOCAL = (
 )
 OFFSET = f"{PIECE}, s int, c int, r int, fault string, declared string, n_found int"
 
-_VALUE = rb"""(?:[^<"']|"[^"<]*"|'[^'<]*')*"""
+_VALUE = rb"""[^<"']*(?:(?:"[^"<]*"|'[^'<]*')[^<"']*)*"""  # plain runs at once, not letter by letter
 #: One record without its ``>``: text, then at most one tag, instruction or comment that ends here.
 _RECORD = re.compile(rb"(?s)[^<]*(?:<(?:(?P<close>/)[^<]*|\?[^<]*\?|!--(?:(?!--)[^<])*--|!DOCTYPE[^<\[]*|(?P<open>[^/!?<]" + _VALUE + rb")))?")
 _ENCODING = re.compile(rb"""<\?xml\s[^<]*encoding\s*=\s*["']([^"']*)["']""")
@@ -85,13 +86,14 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[bytes
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = batch.to_pydict()
-        keys = list(zip(rows["payload_id"], rows["piece"]))
-        at = 0
-        for i in range(1, len(keys) + 1):
-            if i == len(keys) or keys[i] != keys[at]:
-                yield keys[at], rows["record"][at:i], {name: column[at] for name, column in rows.items()}
-                at = i
+        # facts are made for the first row of a lot only: they are the same for all of its records
+        piece, file = batch.column("piece").to_numpy(), batch.column("payload_id").dictionary_encode().indices.to_numpy()
+        ends = [*(((piece[1:] != piece[:-1]) | (file[1:] != file[:-1])).nonzero()[0] + 1).tolist(), batch.num_rows]
+        records, at = batch.column("record").to_pylist(), 0
+        for end in ends:
+            first = {name: batch.column(name)[at].as_py() for name in batch.schema.names if name != "record"}
+            yield (first["payload_id"], first["piece"]), records[at:end], first
+            at = end
 
 
 class _Summary:
@@ -164,7 +166,7 @@ def _starts(pieces: pd.DataFrame) -> pd.DataFrame:
         if whole:
             continue
         if p.closes > len(stack):
-            fault = fault or st.MALFORMED_PAYLOAD
+            fault = fault or MALFORMED_PAYLOAD
             break
         if p.closes:
             del stack[-p.closes :], parents[-p.closes :]
@@ -196,7 +198,7 @@ class _Walk:
         self.declared = self.error = None
         self.finished, self.last, self.cut = False, start["last"], start["cut"]
         self.after = not start["first"] and not start["stack"]  # the root is closed: no more elements
-        self.parser = expat.ParserCreate("UTF-8", st.NAMESPACE)
+        self.parser = expat.ParserCreate("UTF-8", NAMESPACE)
         self.parser.StartElementHandler, self.parser.EndElementHandler = self._replay, self._end
         self._feed(b"<r></r>" if self.after else b"".join(start["stack"]))
         if self.after:
@@ -211,7 +213,7 @@ class _Walk:
             try:
                 self.parser.Parse(data, final)
             except (expat.ExpatError, ValueError):
-                self.error = st.MALFORMED_PAYLOAD
+                self.error = MALFORMED_PAYLOAD
 
     def add(self, records: list[bytes]) -> None:
         lot = records if self.held is None else [self.held, *records]
@@ -224,8 +226,8 @@ class _Walk:
         self._feed(self.held if open_end else self.held + b">", self.last)
 
     def _named(self, name: str, own: dict) -> tuple[str, dict]:
-        if st.NAMESPACE in name or any(st.NAMESPACE in key for key in own):
-            return st._qualified(name), {st._qualified(key): value for key, value in own.items()}
+        if NAMESPACE in name or any(NAMESPACE in key for key in own):
+            return _qualified(name), {_qualified(key): value for key, value in own.items()}
         return name, own
 
     def _push(self, name: str, own: dict) -> None:
@@ -237,7 +239,7 @@ class _Walk:
 
     def _replay(self, name: str, own: dict) -> None:
         name, own = self._named(name, own)
-        if name == st.STATEMENT and not self.base:
+        if name == STATEMENT and not self.base:
             self.base = len(self.names) + 1
         self._push(name, own)
 
@@ -246,12 +248,12 @@ class _Walk:
 
     def _start(self, name: str, own: dict) -> None:
         name, own = self._named(name, own)
-        if name == st.STATEMENTS:
+        if name == STATEMENTS:
             self.containers += 1
             self.declared = own.get("count") if self.containers == 1 else self.declared
-        elif name == st.STATEMENT:
+        elif name == STATEMENT:
             self.found += 1
-        if name == st.STATEMENT and not self.base:
+        if name == STATEMENT and not self.base:
             self.statement, self.section, self.base = self.statement + 1, -1, len(self.names) + 1
             self.row, self.lead = 0, 2
             self.statements += 1
@@ -290,7 +292,7 @@ _LOCAL_ARROW = pa.schema(
 
 
 def _local_batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = [st._maps(c) if pa.types.is_map(f.type) else pa.array(c, f.type) for c, f in zip(zip(*rows), _LOCAL_ARROW)]
+    columns = [_maps(c) if pa.types.is_map(f.type) else pa.array(c, f.type) for c, f in zip(zip(*rows), _LOCAL_ARROW)]
     return pa.RecordBatch.from_arrays(columns, schema=_LOCAL_ARROW)
 
 
@@ -330,7 +332,7 @@ def _offsets(pieces: pd.DataFrame) -> pd.DataFrame:
     if fault:
         declared, found = None, 0
     elif not found:
-        fault = st.NO_STATEMENT
+        fault = NO_STATEMENT
     return pd.DataFrame([[*row, fault, declared, found] for row in rows], columns=[x.split()[0] for x in OFFSET.split(", ")])
 
 
@@ -388,7 +390,7 @@ def parse_files(spark: SparkSession, path: str, piece_bytes: int | None = None)
         F.col("n_found").alias("statement_count"),
     )
     known = starts.where("fault IS NOT NULL").select("payload_id", "fault").unionByName(offsets.where("fault IS NOT NULL").select("payload_id", "fault"))
-    files = spark.read.format("binaryFile").load(path).where("length = 0").select(F.col("path").alias("payload_id"), F.lit(st.EMPTY_PAYLOAD).alias("fault"))
+    files = spark.read.format("binaryFile").load(path).where("length = 0").select(F.col("path").alias("payload_id"), F.lit(EMPTY_PAYLOAD).alias("fault"))
     faults = known.unionByName(files).groupBy("payload_id").agg(F.min("fault").alias("error"))
     empty = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in good.schema}
     empty |= {"payload_id": F.col("payload_id"), "kind": F.lit("error").alias("kind"), "error": F.col("error"), "statement_count": F.lit(0).alias("statement_count")}

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from tallystone.session import scratch_path
@@ -93,3 +94,14 @@ def test_a_file_is_read_by_many_tasks(spark):
     with pieces._piece_size(spark, 1000):
         assert pieces.records(spark, folder).select("piece").distinct().count() > 10
     assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
+
+
+def test_facts_of_a_lot_are_read_once_and_records_match_in_linear_time():
+    """Neighbouring files that both start at byte 0 are lots of their own; a tag of many quoted values takes no step per letter."""
+    batch = pa.RecordBatch.from_pydict({"payload_id": ["a", "a", "b", "b"], "piece": [0, 0, 0, 7], "record": [b"<x", b"</x", b"<y/", b"</z"], "file_bytes": [7, 7, 4, 4]})
+    lots = list(pieces._runs(iter([batch])))
+    assert [(key, lot) for key, lot, _ in lots] == [(("a", 0), [b"<x", b"</x"]), (("b", 0), [b"<y/"]), (("b", 7), [b"</z"])]
+    assert all("record" not in first for _, _, first in lots)
+    for record, simple in ((b"<a b='<'", False), (b'<a b="\'" c=\'"\'', True), (b'<a b="', False), (b"<a" + b' b="c"' * 1000, True)):
+        assert (pieces._RECORD.fullmatch(record) is not None) is simple
+    assert b"[^<\"']|" not in pieces._VALUE
