@@ -10,9 +10,9 @@ first two budgets of the chain become an equality join: each fingerprint is aske
 first two segments and under each value that one allowed bit makes of them.
 
 ``without_near_copies``: for documents that are alike by Jaccard similarity (five-word shingles,
-0.8). Here copies differ in about a seventh of the bits, which no short segment of a plain
-fingerprint survives. The ring is therefore one of shingle classes: shingles are dealt into as
-many classes as differences are to be expected, so that some classes stay untouched (budget 0).
+0.8), and with ``ring`` for those that ``linked`` links as well. By similarity, copies differ in about
+a seventh of the bits, which no short segment of a plain fingerprint survives. Their ring is
+therefore one of shingle classes: shingles are dealt into as many classes as differences are to be expected, so that some classes stay untouched (budget 0).
 Pairs with an equal class whose 512-bit fingerprints are within a radius with room above the mean are
 candidates; the documents that candidates connect are compared among each other, and only pairs
 whose sets of shingles have the similarity, checked exactly, are links. Sixteen classes are asked
@@ -272,14 +272,24 @@ def similar(grouped: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return _links(grouped, "label", BLOCK, wide_radius(similarity), similarity)
 
 
-def without_near_copies(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE) -> DataFrame:
+def ring_links(prints: DataFrame) -> DataFrame:
+    """Links (a, b) that connect all ``fp`` whose 64-bit fingerprints ``print`` are at RADIUS bits or fewer."""
+    prints = prints.select("fp", "print").distinct()
+    first = stored(prints.groupBy("print").agg(F.min("fp").alias("first")), "prints")
+    near = links(first.select(F.col("print").alias("fp")))
+    one, other = (first.select(F.col("print").alias(end), F.col("first").alias(name)) for end, name in (("a", "x"), ("b", "y")))
+    across = near.join(one, "a").join(other, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return across.unionByName(prints.join(first, "print").select(F.col("fp").alias("a"), F.col("first").alias("b")))
+
+
+def without_near_copies(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE, ring: bool = False) -> DataFrame:
     """``docs`` with one row of each group of near copies: the smallest doc_id, then the smallest
-    hash of the text. All columns stay."""
+    hash of the text. All columns stay. With ``ring``, fingerprints within RADIUS bits are links too."""
     small_batches(docs.sparkSession)
     id_, text = column(docs, "doc_id"), column(docs, "text")
     last = F.lit((1 << 63) - 1)
-    signed = docs.select(F.coalesce(id_, last).alias("id"), F.xxhash64(text).alias("h"), signatures(text, k).alias("s"))
-    signed = stored(signed.select("id", "h", "s.*"), "signatures")
+    signed = docs.select(F.coalesce(id_, last).alias("id"), F.xxhash64(text).alias("h"), *([fingerprints(text).alias("print")] if ring else []), signatures(text, k).alias("s"))
+    signed = stored(signed.select("id", "h", *(["print"] if ring else []), "s.*"), "signatures")
     first = F.min(F.struct("id", "h")).alias("first")
     distinct = stored(signed.groupBy("fp").agg(first, F.any_value("keys").alias("keys")), "distinct")
     maybe = components(candidates(distinct.select("fp", "keys"), similarity)).withColumnRenamed("node", "fp")
@@ -287,7 +297,8 @@ def without_near_copies(docs: DataFrame, similarity: float = SIMILARITY, k: int
     texts = docs.select(F.coalesce(id_, last).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
     found = places.join(texts, ["id", "h"])
     grouped = stored(found.select("label", "fp", shingle_sets(F.col("text"), k).alias("set")), "sets")
-    label = components(similar(grouped, similarity)).withColumnRenamed("node", "fp")
+    found = similar(grouped, similarity)
+    label = components(found.unionByName(ring_links(signed)) if ring else found).withColumnRenamed("node", "fp")
     kept = distinct.select("fp", "first").join(label, "fp", "left").groupBy(F.coalesce("label", "fp").alias("label")).agg(F.min("first").alias("first"))
     names = [free_name(docs, n) for n in ("_id", "_h", "_n")]
     wanted = kept.select(F.col("first.id").alias(names[0]), F.col("first.h").alias(names[1]))

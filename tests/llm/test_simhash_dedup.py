@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 import re
 
+import corpus_pipeline
 import xxhash
 from llm.texts import corpus, prose
 
@@ -133,3 +134,16 @@ def test_a_link_between_followers_is_found():
     rows = pd.DataFrame({"part": 1, "fp": [bits(), bits(*range(100)), bits(*range(200))]})
     found = pd.concat(q._linked(iter([rows]), 110, None))
     assert len(found) == 2
+
+
+def test_fingerprints_on_the_ring_are_near_copies(spark, documents):
+    """Texts within three bits are links of the pipeline's stage, though their sets of shingles are not alike."""
+    rng = random.Random(5)
+    usual = " ".join(["row of dots"] * 400)
+    texts = [f"{usual} {prose(rng, 30)}" for _ in range(4)] + [prose(rng, 60) for _ in range(4)]
+    prints = [fingerprint(t) for t in texts]
+    sets = [set(q.shingle_set(t).tolist()) for t in texts]
+    pairs = [(i, j) for i in range(8) for j in range(i)]
+    near = [(i, j) for i, j in pairs if (prints[i] ^ prints[j]).bit_count() <= 3]
+    assert len(near) == 6 and all(len(sets[i] & sets[j]) < 0.5 * len(sets[i] | sets[j]) for i, j in pairs)
+    assert {r.doc_id for r in corpus_pipeline.near_copies(spark, documents(texts), "").collect()} == set(closure(near, range(8)).values())
