@@ -51,3 +51,16 @@ def test_raw_rows_are_written_once(spark, monkeypatch):
     assert not {"new_raw", "raw"} & set(names) and "parsed" in names
     raw = store.read("raw_record", schemas.RAW_RECORD)
     assert raw.count() > 0 and raw.select("raw_record_id").distinct().count() == raw.count()
+
+
+def test_a_section_is_mapped_without_the_others(spark):
+    """A filter on the section's name leaves out the tables of the other sections; payloads of all were made for each."""
+    plan = catalog.map_fx(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "o_totalprice" in plan and "l_partkey" not in plan and "event_type" not in plan
+
+
+def test_each_section_is_mapped_once_for_the_counters(spark, monkeypatch):
+    names = []
+    monkeypatch.setattr(catalog, "stored", lambda df, name: names.append(name) or stored(df, name))
+    plan = catalog.batch_counters(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert names == [] and sum("l_partkey" in line and "Relation" in line for line in plan.splitlines()) == 1
