@@ -41,6 +41,17 @@ def test_arrivals_are_made_once(spark):
     assert len(seen) == 3 and made.value == 90
 
 
+def test_rows_without_a_day_arrive_too(spark):
+    """They were in no arrival."""
+    rows = spark.range(9).select("id", F.when(F.col("id") % 3 != 0, F.date_add(F.lit("2000-01-01").cast("date"), F.col("id").cast("int"))).alias("day"))
+    sizes = []
+    for feed in catalog._arrivals(rows, "day", ("2000-01-03", "2000-01-06")):
+        query = feed.writeStream.format("memory").queryName(f"arrived{len(sizes)}").trigger(availableNow=True).start()
+        query.awaitTermination()
+        sizes.append(spark.table(f"arrived{len(sizes)}").count())
+    assert sizes == [1, 3, 9]
+
+
 def test_raw_rows_are_written_once(spark, monkeypatch):
     """A run publishes its raw rows and maps them from there; there were two scratch copies more of them."""
     names = []
