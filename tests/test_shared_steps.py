@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import pytest
 from conftest import SMALL
 
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from tallystone import schemas
 from tallystone.plans import catalog, jobs
 from tallystone.plans.store import Store
 from tallystone.session import scratch_path, stored
-from tallystone.sources import star
+from tallystone.sources import star, statements
 
 
 def test_narrow_first_items_are_the_first_executions(spark):
@@ -75,3 +76,27 @@ def test_each_section_is_mapped_once_for_the_counters(spark, monkeypatch):
     monkeypatch.setattr(catalog, "stored", lambda df, name: names.append(name) or stored(df, name))
     plan = catalog.batch_counters(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert names == [] and sum("l_partkey" in line and "Relation" in line for line in plan.splitlines()) == 1
+
+
+@pytest.fixture
+def small_tasks(spark):
+    """A shuffle keeps its partitions, however small they are."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_payloads_of_one_small_file_are_parsed_by_many_tasks(spark, small_tasks):
+    """All statements of a row group of the table were parsed by one task, for their file is small."""
+    assert len(catalog._monthly(spark, SMALL).inputFiles()) > 1
+
+
+def test_a_payload_is_judged_once_for_all_outputs(spark, monkeypatch):
+    payloads = star.statement_payloads(star.table(spark, SMALL, "orders").limit(60))
+    plain = statements.parse_payloads(payloads)
+    kept = statements.judged(plain)
+    for output in (statements.good_rows, statements.rejected_payloads):
+        want = output(plain)
+        assert sorted(map(str, output(kept).select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    monkeypatch.setattr(statements, "_fault", None)
+    assert statements.good_rows(kept).count() > 0
