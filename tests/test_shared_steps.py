@@ -10,6 +10,7 @@ from tallystone.plans import catalog, jobs
 from tallystone.plans.store import Store
 from tallystone.session import scratch_path, stored
 from tallystone.sources import star, statements
+from tallystone.streaming import incremental
 
 
 def test_narrow_first_items_are_the_first_executions(spark):
@@ -100,3 +101,11 @@ def test_a_payload_is_judged_once_for_all_outputs(spark, monkeypatch):
         assert sorted(map(str, output(kept).select(*want.columns).collect())) == sorted(map(str, want.collect()))
     monkeypatch.setattr(statements, "_fault", None)
     assert statements.good_rows(kept).count() > 0
+
+
+def test_payloads_of_a_micro_batch_are_parsed_by_many_tasks(spark, small_tasks, monkeypatch):
+    files = []
+    monkeypatch.setattr(jobs, "ingest", lambda store, payloads, run: files.append(payloads.inputFiles()) or "success")
+    feed = star.statement_payloads(star.table_stream(spark, SMALL, "orders"))
+    incremental.ingest_payload_stream(feed, None, scratch_path(spark, "dealt"), "dealt")
+    assert len(files[0]) > 1
