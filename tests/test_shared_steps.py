@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import os
+import time
+
 import pytest
 from conftest import SMALL
 
@@ -8,7 +11,7 @@ from pyspark.sql import functions as F
 from tallystone import schemas
 from tallystone.plans import catalog, jobs
 from tallystone.plans.store import Store
-from tallystone.session import scratch_path, stored
+from tallystone.session import discard, scratch_path, shared_dir, stored
 from tallystone.sources import star, statements
 from tallystone.streaming import incremental
 
@@ -109,3 +112,27 @@ def test_payloads_of_a_micro_batch_are_parsed_by_many_tasks(spark, small_tasks,
     feed = star.statement_payloads(star.table_stream(spark, SMALL, "orders"))
     incremental.ingest_payload_stream(feed, None, scratch_path(spark, "dealt"), "dealt")
     assert len(files[0]) > 1
+
+
+def test_a_stored_copy_leaves_no_shuffle_files_and_can_be_discarded(spark):
+    """Shuffle files of what was written stayed until the driver collected its garbage, those of all steps of a query together."""
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    before = files()
+    rows = spark.range(20000).withColumn("h", F.md5(F.col("id").cast("string")))
+    copy = stored(rows.groupBy("h").count(), "grouped")
+    for _ in range(50):  # files go in the background
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before
+    assert copy.count() == 20000
+    discard(copy)
+    assert not os.path.exists(copy.scratch)
+
+
+def test_lineage_keeps_no_copy_it_does_not_read_and_joins_no_report(spark):
+    before = set(os.listdir(shared_dir(spark)))
+    plan = catalog.report_lineage(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    left = {name.rsplit("-", 1)[0] for name in set(os.listdir(shared_dir(spark))) - before}
+    assert "contributions" in left and not {"fills", "usage"} & left
+    assert sum("Join" in line for line in plan.splitlines()) <= 3
